@@ -6,23 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, packing
+from quarry.llm import mixing, near, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Batches of texts that fit beside a small executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op7_packing": op7_packing}
+    return {"op1_mixing": op1_mixing, "op5_near_duplicates": op5_near_duplicates, "op7_packing": op7_packing}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -55,5 +65,25 @@ FROM laid
 """
 
 
+OP5 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+        ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS items FROM w),
+g AS (SELECT doc_id, CAST(len(items) AS BIGINT) AS n, items FROM s),
+x AS (SELECT doc_id, n, unnest(items) AS item FROM g),
+df AS (SELECT item, count(*) AS c FROM x GROUP BY item),
+o AS (SELECT x.doc_id, x.n, x.item, row_number() OVER (PARTITION BY x.doc_id ORDER BY df.c, x.item) AS r FROM x JOIN df USING (item)),
+p AS (SELECT doc_id, n, item FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.item = b.item AND a.doc_id < b.doc_id
+         AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80),
+m AS (SELECT c.a, c.b, g1.n AS na, g2.n AS nb, len(list_intersect(g1.items, g2.items)) AS i FROM cand c JOIN g g1 ON g1.doc_id = c.a JOIN g g2 ON g2.doc_id = c.b),
+e AS (SELECT a, b FROM m WHERE 100 * i >= 80 * (na + nb - i)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.a, y.b FROM reach r JOIN both_ways y ON r.b = y.a)
+SELECT g.doc_id, g.n AS n_shingles, min(r.b) AS component_id, min(r.b) = g.doc_id AS kept
+FROM g JOIN reach r ON r.a = g.doc_id GROUP BY g.doc_id, g.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1}
+    return {"op1_mixing": OP1, "op5_near_duplicates": OP5}
