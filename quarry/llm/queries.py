@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, near, packing
+from quarry.llm import mixing, near, packing, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return repeats.repeat_sizes(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     return near.near_groups(table(spark, sf_dir, "documents"))
@@ -32,7 +37,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op5_near_duplicates": op5_near_duplicates, "op7_packing": op7_packing}
+    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op5_near_duplicates": op5_near_duplicates, "op7_packing": op7_packing}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
