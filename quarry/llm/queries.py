@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, near, packing, repeats
+from quarry.llm import html_text, mixing, near, packing, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,17 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op5_near_duplicates": op5_near_duplicates, "op7_packing": op7_packing}
+    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
