@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_text, mixing, near, packing, repeats
+from quarry.llm import html_text, mixing, near, packing, quality_rules, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing}
+    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_quality_rules": op8_quality_rules}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
