@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import digests, html_text, mixing, near, packing, quality_rules, repeats
+from quarry.llm import digests, html_text, languages, mixing, near, packing, quality_model, quality_rules, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return languages.predicted(docs, languages.learned(docs))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.scored(docs, quality_model.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op4_fingerprints": op4_fingerprints, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_quality_rules": op8_quality_rules}
+    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op4_fingerprints": op4_fingerprints, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_quality_rules": op8_quality_rules, "op9_languages": op9_languages, "op10_quality_model": op10_quality_model}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
