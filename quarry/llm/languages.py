@@ -26,7 +26,7 @@ from quarry.llm import bytes as B
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose scores a worker keeps.
-CACHE = 200_000
+CACHE = 400_000
 
 
 @dataclass
@@ -47,11 +47,17 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(p for p in found if p == p.lower()))}
 
 
+def prefix_tree(pieces: dict[str, int]) -> dict[str, int]:
+    """Every prefix of a piece: its number if it is a piece, or -1; the empty one has the number of no piece."""
+    tree = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    return tree | pieces | {"": len(pieces)}
+
+
 class Lattice:
     """The ways to cut words into pieces: edges from node to node, ordered by where they end."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        unknown = len(pieces)
+    def __init__(self, words: list[str], tree: dict[str, int]):
+        unknown = tree[""]
         first, ends, starts, piece = [0], [], [], []
         node = 0
         for word in words:
@@ -59,9 +65,11 @@ class Lattice:
             n = len(word)
             for i in range(n):
                 single = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = pieces.get(word[i:j])
-                    if p is not None:
+                for j in range(i + 1, n + 1):
+                    p = tree.get(word[i:j])
+                    if p is None:
+                        break
+                    if p >= 0:
                         starts.append(node + i)
                         ends.append(node + j)
                         piece.append(p)
@@ -106,9 +114,9 @@ def fit(counts: dict[str, Counter], pieces: dict[str, int], prior: dict[str, flo
     languages = sorted(counts)
     words = sorted(set().union(*counts.values())) if counts else []
     table = np.array([[counts[k][w] for k in languages] for w in words], dtype=np.float64).reshape(len(words), len(languages))
-    n, longest = len(pieces) + 1, max(map(len, pieces), default=1)
+    n, tree = len(pieces) + 1, prefix_tree(pieces)
     logs = np.full((n, len(languages)), -np.log(n))
-    lattices = [(Lattice(words[i : i + 8000], pieces, longest), table[i : i + 8000]) for i in range(0, len(words), 8000)]
+    lattices = [(Lattice(words[i : i + 8000], tree), table[i : i + 8000]) for i in range(0, len(words), 8000)]
     for _ in range(rounds):
         expected = np.full((n, len(languages)), smoothing)
         for lattice, times in lattices:
@@ -124,7 +132,7 @@ class Scorer:
     """Scores of texts, with the words' scores kept between batches."""
 
     def __init__(self, model: Model):
-        self.model, self.longest = model, max(map(len, model.pieces), default=1)
+        self.model, self.tree = model, prefix_tree(model.pieces)
         self.known: dict[int, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
@@ -139,7 +147,7 @@ class Scorer:
             rows = [self.table]
             for i in range(0, len(new), 4000):
                 part = [words(k).decode("utf-8", "replace") for k in new[i : i + 4000]]
-                rows.append(Lattice(part, self.model.pieces, self.longest).scores(self.model.logs))
+                rows.append(Lattice(part, self.tree).scores(self.model.logs))
             at[new] = len(self.table) + np.arange(len(new))
             self.known.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
             self.table = np.concatenate(rows)
