@@ -2,9 +2,10 @@
 
 Equal shingle sets are one class, so copies never meet in pairs. Class representatives are sketched with `coords`
 coordinates in bands of `rows`; at the threshold of 0.8 a pair shares no band of 32 with probability 5e-8. Members of
-a band bucket are first checked against the bucket's smallest member; buckets that still hold several components go
-on with pivots from their largest component, and the rest is checked pair by pair across components. Members that are
-already connected need no check, so no link that could change a component is skipped, and there is no cap.
+a band bucket are first checked against its most central member, the one in the fullest buckets. Of buckets that then
+still hold several components, small ones are paired in full; in large ones the members outside the largest component
+are checked against it, and against each other, in blocks of whole sets. Members that are already connected need no
+check, so no link that could change a component is skipped, and there is no cap.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; a text with fewer words than the
 shingle width is one shingle; a null doc_id is kept and is the group's id only if no other member has one; repeated
@@ -26,10 +27,10 @@ from quarry.llm.sketch import band_keys, sketches
 from quarry.operators.components import components
 from quarry.scratch import staged
 
-#: Buckets of at most so many members go straight to pairs.
+#: Buckets of at most so many members are paired in full.
 SMALL = 32
-#: Rounds of pivots before the members left over are paired.
-PIVOT_ROUNDS = 3
+#: Sets checked against as many others in one go.
+BLOCK = 128
 
 
 def set_hashes(items: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +108,13 @@ def near_classes(
     )
     classes = staged(classes.select("h1", "h2", "node", "first_id", "n", "of.bands", "of.key"), "near-classes")
     members = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    hits = staged(members.join(shared, "band").select("band", "node", "n", "c", "pivot"), "near-hits")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    hits = staged(members.join(shared, "band").select("band", "node", "n", "c"), "near-hits")
+    central = hits.groupBy("node").agg(F.sum("c").alias("reach"))
+    ranked = hits.join(central, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("reach", -F.col("node"))).alias("pivot"))
+    star = hits.select("band", "node", "n").join(ranked.select("band", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("na")), "band")
+    star = star.where("node != a").where(_in_size("na", "n", threshold)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    star = staged(star, "near-pairs")
 
     wanted = hits.select("node").distinct().join(classes.select("node", "h1", "h2", "key"), "node")
     wanted = staged(wanted, "near-wanted")
@@ -116,24 +122,16 @@ def near_classes(
     reps = wanted.select(F.col("key").alias("rep")).distinct()
     texts = texts.join(reps, texts["key"].eqNullSafe(reps["rep"]), "left_semi").select("text")
     sets = texts.mapInArrow(_setter(width), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
-    sets = staged(sets.groupBy("node").agg(F.first("items").alias("items")), "near-sets")
+    sets = staged(sets if key == "rid" else sets.dropDuplicates(["node"]), "near-sets")
 
-    sizes = wanted.select("node").join(classes.select("node", "n"), "node")
-    star = hits.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(_in_size("na", "nb", threshold)).select("a", "b")
     links = staged(_verified(star, sets, threshold), "near-links")
     labels = staged(components(links, "a", "b"), "near-labels")
-    turn = 0
-    while True:
-        more = staged(_next_pairs(hits, labels, turn, threshold), "near-pairs")
-        new = staged(_verified(more, sets, threshold), "near-links")
-        grew = bool(new.take(1))
-        if grew:
-            links = links.unionByName(new)
-            labels = staged(components(links, "a", "b"), "near-labels")
-        if turn == PIVOT_ROUNDS or not _open_buckets(hits.where(F.col("c") > SMALL), labels).take(1):
-            break
-        turn = turn + 1 if grew else PIVOT_ROUNDS
+    open_hits = _named(hits, labels).join(_open_buckets(hits, labels), "band").select("band", "node", "n", "c", "component")
+    open_hits = staged(open_hits, "near-open")
+    more = _verified(_small_pairs(open_hits.where(F.col("c") <= SMALL), threshold), sets, threshold)
+    more = more.unionByName(_block_links(open_hits.where(F.col("c") > SMALL), labels, sets, threshold))
+    links = links.unionByName(staged(more, "near-links"))
+    labels = staged(components(links, "a", "b"), "near-labels")
     out = classes.select("h1", "h2", "node", "first_id").join(labels, "node", "left")
     out = out.withColumn("component", F.coalesce("component", "node"))
     smallest = out.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -149,32 +147,64 @@ def _open_buckets(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return _named(hits, labels).groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
 
 
-def _next_pairs(hits: DataFrame, labels: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """Pairs across the components of a bucket: with a pivot of its largest component, or at last all that are left.
+def _small_pairs(hits: DataFrame, threshold: int) -> DataFrame:
+    """All pairs across components in buckets of bounded size."""
+    left = hits.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    pairs = left.join(hits, "band").where("a < node and ca != component").where(_in_size("na", "n", threshold))
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
+def _block_links(hits: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links of the members outside a large bucket's largest component, to that component and among each other.
 
-    Small buckets are paired in full in the first turn.
+    Both sides are dealt into blocks of whole sets; in a block, a member gives one link to each other component.
     """
-    last = turn == PIVOT_ROUNDS
-    hits = hits if turn == 0 else hits.where(F.col("c") > SMALL)
-    named = _named(hits, labels).join(_open_buckets(hits, labels), "band").select("band", "node", "n", "c", "component")
-    groups = named.where(F.col("c") > SMALL).groupBy("band", "component").agg(
-        F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "n")).alias("pick")
-    )
-    main = groups.groupBy("band").agg(F.max(F.struct("k", "component", "pick")).alias("main"))
-    main = main.select("band", F.col("main.component").alias("main"), F.col("main.pick.node").alias("a"), F.col("main.pick.n").alias("na"))
-    others = named.where(F.col("c") > SMALL).join(main, "band").where("component != main")
-    if last:
-        rest = others.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        pairs = rest.join(named.where(F.col("c") > SMALL), "band").where("ca != component").where(_in_size("na", "n", threshold))
-        pairs = pairs.select("a", F.col("node").alias("b"))
-    else:
-        pairs = others.where(_in_size("na", "n", threshold)).select("a", F.col("node").alias("b"))
-    if turn == 0:
-        small = named.where(F.col("c") <= SMALL)
-        left = small.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        near = left.join(small, "band").where("a < node and ca != component").where(_in_size("na", "n", threshold))
-        pairs = pairs.unionByName(near.select("a", F.col("node").alias("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    counts = hits.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main")).select("band", F.col("main.component").alias("main"))
+    others = hits.join(main, "band").where("component != main").select("main", "node", "component").distinct()
+    others = staged(others, "near-others")
+    labelled = labels.select("node", F.col("component").alias("main"))
+    # a component of one has no label of its own
+    alone = others.select("main").distinct().join(labelled.select("main").distinct(), "main", "left_anti").select(F.col("main").alias("node"), "main")
+    inside = labelled.join(others.select("main").distinct(), "main", "left_semi").select("node", "main").unionByName(alone)
+    every = inside.withColumn("component", F.col("main")).unionByName(others.select("node", "main", "component"))
+    blocks = lambda df, name: df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = blocks(every, "xs").join(blocks(others, "ys"), "main")
+    part = lambda df, salt, n: df.withColumn("part", F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int"))
+    x = part(every.join(sizes, "main"), "x", "xs").select("node", "main", "component", F.col("part").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(False).alias("asks"))
+    y = part(others.join(sizes, "main"), "y", "ys").select("node", "main", "component", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.col("part").alias("yb"), F.lit(True).alias("asks"))
+    dealt = x.unionByName(y).join(sets, "node")
+    return dealt.groupBy("main", "xb", "yb").applyInArrow(_block_checker(threshold), "a long, b long").distinct()
+
+
+def _block_checker(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
+        nodes, groups = (table.column(c).combine_chunks().to_numpy() for c in ("node", "component"))
+        lists = table.column("items").combine_chunks()
+        at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        size = np.diff(at)
+        index = np.flatnonzero(~asks)
+        a, b = [], []
+        if len(index) and asks.any():
+            owner = np.repeat(np.arange(len(index)), size[index])
+            items = np.concatenate([flat[at[k] : at[k + 1]] for k in index])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            for k in np.flatnonzero(asks):
+                own = flat[at[k] : at[k + 1]]
+                lo, hi = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+                run_of = hi - lo
+                places = np.repeat(lo - np.concatenate([[0], np.cumsum(run_of)[:-1]]), run_of) + np.arange(run_of.sum())
+                shared = np.bincount(owner[places], minlength=len(index))
+                union = size[k] + size[index] - shared
+                hit = index[(shared * 100 >= union * threshold) & (groups[index] != groups[k])]
+                for j in hit[np.unique(groups[hit], return_index=True)[1]]:
+                    a.append(min(nodes[k], nodes[j]))
+                    b.append(max(nodes[k], nodes[j]))
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+
+    return run
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", width: int = 2, threshold: int = 80) -> DataFrame:
