@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import digests, html_text, languages, mixing, near, packing, quality_model, quality_rules, repeats
+from quarry.llm import digests, html_text, languages, mixing, near, ngram_model, packing, quality_model, quality_rules, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_sizes(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return ngram_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     return digests.edits(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op4_fingerprints": op4_fingerprints, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_quality_rules": op8_quality_rules, "op9_languages": op9_languages, "op10_quality_model": op10_quality_model}
+    return {"op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op3_ngram_model": op3_ngram_model, "op4_fingerprints": op4_fingerprints, "op5_near_duplicates": op5_near_duplicates, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_quality_rules": op8_quality_rules, "op9_languages": op9_languages, "op10_quality_model": op10_quality_model}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
