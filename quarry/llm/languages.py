@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import bytes as B
 
@@ -224,3 +225,14 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     scan = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = scan.mapInArrow(_predictor(shared, ["doc_id"]), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs whose language can be told: not `und`, and likelier than not."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    scan = docs.select(row, F.col("text").cast("string").alias("text"))
+    out = scan.mapInArrow(_predictor(shared, ["row"]), T.StructType([scan.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kept = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -244,3 +244,44 @@ def repeat_sizes(docs: DataFrame, length: int = 400) -> DataFrame:
     out = repeated(docs, length)
     spans = F.coalesce(F.size(F.when(F.col("starts").isNotNull(), F.col("starts"))), F.lit(0))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.greatest(spans, F.lit(0)).cast("long").alias("n_spans"), "kept_sha256")
+
+
+def _whole_chars(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters that it cuts."""
+    while start < end and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
+            raw, kept, at = text.encode(), [], 0
+            for s, e in zip(starts, ends, strict=True):
+                s, e = _whole_chars(raw, s, e)
+                kept.append(raw[at:s])
+                at = e
+            texts.append(b"".join([*kept, raw[at:]]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, type=pa.string())], names=["rid", "cut"])
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """docs with every repeated string of length bytes cut from the texts, whole characters only.
+
+    A document left without words is dropped; one that had none stays as it is.
+    """
+    columns = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    keyed = staged(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row")), "repeat-docs")
+    named = keyed.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    spans = repeated(named, length, "rid").where(F.col("n_removed") > 0).select("rid", "starts", "ends")
+    texts = named.select("rid", F.col("text").cast("string").alias("text")).join(spans, "rid").select("rid", "text", "starts", "ends")
+    cut = staged(texts.mapInArrow(_remover, "rid long, cut string"), "repeat-cut")
+    out = keyed.join(cut, "rid", "left").where(F.col("cut").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.coalesce("cut", "row.text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
