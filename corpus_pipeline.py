@@ -2,7 +2,7 @@
 
 language   documents whose language cannot be told go
 near       one document of each near-duplicate group stays (five-word shingles, similarity 0.8)
-repeats    strings of 300 bytes and more that occur twice are cut, everywhere
+repeats    strings of 200 bytes and more that occur twice are cut, everywhere
 mix        sources are mixed to their target weights; a document appears once for every pass that takes it
 pack       whole texts go into length buckets and token-budget batches
 
@@ -22,7 +22,7 @@ from quarry.scratch import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-REPEAT_BYTES = 300
+REPEAT_BYTES = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import anchors as A
 from quarry.llm import bytes as B
@@ -61,8 +62,8 @@ def _anchorer(length: int, q: int):
             sha = [hashlib.sha256(raw[offsets[k] : offsets[k + 1]]).hexdigest() for k in range(n)]
             lists = _lists(flat[0], n, flat[1:], kinds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("id"), batch.column("key"), pa.array(np.diff(offsets)), pa.array(sha), *lists],
-                names=["rid", "id", "key", "n_bytes", "sha", "gram", "whole", "lo", "hi", "x"],
+                [batch.column("id"), pa.array(np.diff(offsets)), pa.array(sha, type=pa.string()), *lists],
+                names=["id", "n_bytes", "sha", "gram", "whole", "lo", "hi", "x"],
             )
 
     return run
@@ -137,26 +138,43 @@ def _spans(row_lo: np.ndarray, row_hi: np.ndarray, row_p: np.ndarray, row_mask:
     return covered(np.concatenate([row_lo, single]), np.concatenate([row_hi, single]) + length)
 
 
-def _cutter(length: int):
+def _whole_chars(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters that it cuts."""
+    while start < end and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def _cutter(length: int, texts: bool):
+    """texts: also the text without the spans, whole characters only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = B.values(batch.column("text"))
             cols = {c: (np.asarray(batch.column(c).values).astype(np.int64), np.asarray(batch.column(c).offsets)) for c in ("lo", "hi", "p", "mask")}
-            starts, ends, at, sha, removed = [], [], [0], [], []
+            spans: list[list[np.ndarray]] = [[], []]
+            at, sha, removed, cut = [0], [], [], []
             for k in range(batch.num_rows):
                 lo, hi, p, mask = (v[o[k] : o[k + 1]] for v, o in cols.values())
                 a, b = _spans(lo, hi, p, mask, length)
-                text = buf[offsets[k] : offsets[k + 1]]
-                keep = np.ones(len(text), dtype=bool)
-                for s, e in zip(a, b, strict=True):
-                    keep[s:e] = False
-                starts.append(a)
-                ends.append(b)
+                raw = buf[offsets[k] : offsets[k + 1]].tobytes()
+                edges = [0, *np.stack([a, b], axis=1).reshape(-1).tolist(), len(raw)]
+                sha.append(hashlib.sha256(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))).hexdigest())
+                spans[0].append(a)
+                spans[1].append(b)
                 at.append(at[-1] + len(a))
                 removed.append(int((b - a).sum()))
-                sha.append(hashlib.sha256(text[keep].tobytes()).hexdigest())
-            lists = [pa.ListArray.from_arrays(pa.array(np.array(at, dtype=np.int32)), pa.array(np.concatenate(y) if y else np.zeros(0, np.int64), type=pa.int64())) for y in (starts, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), *lists, pa.array(removed, type=pa.int64()), pa.array(sha, type=pa.string())], names=["rid", "starts", "ends", "n_removed", "kept_sha256"])
+                if texts:
+                    whole = [_whole_chars(raw, s, e) for s, e in zip(a.tolist(), b.tolist(), strict=True)]
+                    edges = [0, *(x for pair in whole for x in pair), len(raw)]
+                    cut.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)).decode())
+            lists = [pa.ListArray.from_arrays(pa.array(np.array(at, dtype=np.int32)), pa.array(np.concatenate(y) if y else np.zeros(0, np.int64), type=pa.int64())) for y in spans]
+            if texts:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, type=pa.string())], names=["row", "cut"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("sha"), *lists, pa.array(removed, type=pa.int64()), pa.array(sha, type=pa.string())], names=["sha", "starts", "ends", "n_removed", "kept_sha256"])
 
     return run
 
@@ -180,56 +198,63 @@ def _refined_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.join(known, what).select("rid", "p", F.col("found").alias("mask"))
 
 
-def repeated(docs: DataFrame, length: int = 400, key: str = "doc_id") -> DataFrame:
-    """Per document: rid, id, n_bytes, sha, starts, ends, n_removed, kept_sha256; spans are bytes, and null where nothing goes.
-
-    key names a column that finds a document again in a second scan.
-    """
-    q = length // 2
-    scan = docs.select(
-        F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid"),
-        F.col("doc_id").cast("long").alias("id"),
-        F.col(key).cast("string").alias("key"),
-        F.col("text").cast("string").alias("text"),
-    )
-    kind = "rid long, id long, key string, n_bytes long, sha string, gram array<long>, whole array<long>, lo array<int>, hi array<int>, x array<int>"
-    rows = staged(scan.mapInArrow(_anchorer(length, q), kind), "repeat-rows")
-    classes = rows.groupBy("sha").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = staged(classes, "repeat-classes")
-    reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    one = reps.select("rid", F.explode(F.arrays_zip("gram", "whole", "lo", "hi", "x")).alias("a")).select("rid", "a.*")
-    common = one.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
-    open_anchors = staged(one.join(common, "gram"), "repeat-anchors")
-    wholes = staged(open_anchors.groupBy("whole", "gram").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "x")).alias("first")), "repeat-wholes")
-    settled = open_anchors.join(wholes.where("m > 1").select("whole"), "whole").select("rid", "lo", "hi")
-    mixed = wholes.groupBy("gram").agg(F.min("m").alias("least")).where("least = 1").select("gram")
-    partners = wholes.join(mixed, "gram", "left_semi").select(F.col("first.rid").alias("rid"), F.col("first.x").alias("x"))
-    # an anchor's position is its own but where a segment ends, and then a second partner does no harm
-    partners = open_anchors.join(partners, ["rid", "x"], "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "x"))).alias("part"))
-    touched = open_anchors.select("rid").distinct().join(partners, "rid", "left")
-    touched = touched.join(rows.select("rid", "key", "sha"), "rid")
-    touched = touched.select("rid", F.col("key").alias("rep_key"), "sha", F.expr("transform(part, a -> a.lo)").alias("lo"), F.expr("transform(part, a -> a.hi)").alias("hi"), F.expr("transform(part, a -> a.x)").alias("x"))
-    touched = staged(touched, "repeat-touched")
-    texts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(touched, texts["key"].eqNullSafe(touched["rep_key"])).where(F.sha2("text", 256) == F.col("sha"))
-    texts = staged(texts.select("rid", "text", "lo", "hi", "x"), "repeat-texts")
-    kind = "rid long, p int, core long, left binary, right binary, mask int"
-    blocks = texts.where("lo is not null").select("rid", "text", "lo", "hi", "x").mapInArrow(_blocker(length), kind)
-    single = _refined_blocks(staged(blocks, "repeat-blocks"))
-    marks = settled.select("rid", "lo", "hi", F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("mask")).unionByName(
-        single.select("rid", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), "p", "mask")
-    )
-    marks = marks.groupBy("rid").agg(*[F.collect_list(F.struct(*pair)).alias(pair[0]) for pair in (("lo", "hi"), ("p", "mask"))])
-    marks = marks.select(
-        "rid", *[F.expr(f"transform(filter({a}, y -> y.{a} is not null), y -> y.{b})").alias(c) for a, b, c in (("lo", "lo", "los"), ("lo", "hi", "his"), ("p", "p", "ps"), ("p", "mask", "masks"))]
-    ).toDF("rid", "lo", "hi", "p", "mask")
-    cut = texts.select("rid", "text").dropDuplicates(["rid"]) if key != "rid" else texts.select("rid", "text")
-    cut = cut.join(marks, "rid").select("rid", "text", "lo", "hi", "p", "mask")
-    cut = cut.mapInArrow(_cutter(length), "rid long, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = rows.select("rid", "id", "n_bytes", "sha").join(classes.select("sha", "copies"), "sha").join(cut, "rid", "left")
+class _Found:
+    """Tables of one search: rows (rid, id, n_bytes, sha, ...), classes (sha, rep, copies), texts and marks by rid."""
+
+    def __init__(self, docs: DataFrame, length: int, carry: bool):
+        """carry: texts holds every document with all its columns, else only the texts that may have repeats."""
+        q = length // 2
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        scan = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+        kind = "id long, n_bytes long, sha string, gram array<long>, whole array<long>, lo array<int>, hi array<int>, x array<int>"
+        rows = scan.mapInArrow(_anchorer(length, q), kind).withColumn("rid", F.monotonically_increasing_id())
+        self.rows = rows = staged(rows, "repeat-rows")
+        self.classes = staged(rows.groupBy("sha").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n_bytes").alias("n_bytes")), "repeat-classes")
+        reps = rows.join(self.classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+        one = reps.select("rid", F.explode(F.arrays_zip("gram", "whole", "lo", "hi", "x")).alias("a")).select("rid", "a.*")
+        common = one.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
+        anchors = staged(one.join(common, "gram"), "repeat-anchors")
+        wholes = staged(anchors.groupBy("whole", "gram").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "x")).alias("first")), "repeat-wholes")
+        settled = anchors.join(wholes.where("m > 1").select("whole"), "whole").select("rid", "lo", "hi")
+        mixed = wholes.groupBy("gram").agg(F.min("m").alias("least")).where("least = 1").select("gram")
+        partners = wholes.join(mixed, "gram", "left_semi").select(F.col("first.rid").alias("rid"), F.col("first.x").alias("x"))
+        # an anchor's position is its own but where a segment ends, and then a second partner does no harm
+        parts = anchors.join(partners, ["rid", "x"], "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "x"))).alias("part"))
+        touched = anchors.select("rid").distinct().join(parts, "rid", "left")
+        touched = touched.select("rid", *[F.expr(f"transform(part, a -> a.{c})").alias(c) for c in ("lo", "hi", "x")])
+        known = self.classes.select(F.col("rep").alias("rid"), "sha", self.whole(length).alias("all_goes"))
+        touched = known.join(touched.withColumn("open", F.lit(True)), "rid", "left").where("open or all_goes" if carry else "open")
+        touched = staged(touched.drop("open"), "repeat-touched")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(F.col("text"))
+        again = docs.select(row.alias("row"), F.sha2(text, 256).alias("sha")).join(touched, "sha", "left" if carry else "inner")
+        again = again.withColumn("touched", F.col("rid").isNotNull().cast("int"))
+        self.texts = texts = staged(again, "repeat-texts", ["touched"])
+        own = F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")
+        # copies of one text count as often as they occur, and they repeat each other
+        blocks = texts.where("touched = 1 and lo is not null").select("rid", own, "lo", "hi", "x")
+        blocks = blocks.mapInArrow(_blocker(length), "rid long, p int, core long, left binary, right binary, mask int")
+        single = _refined_blocks(staged(blocks, "repeat-blocks")).distinct()
+        none = lambda c: F.lit(None).cast("int").alias(c)
+        marks = settled.select("rid", "lo", "hi", none("p"), none("mask")).unionByName(single.select("rid", none("lo"), none("hi"), "p", "mask"))
+        marks = marks.groupBy("rid").agg(F.collect_list(F.when(F.col("p").isNull(), F.struct("lo", "hi"))).alias("l"), F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "mask"))).alias("m"))
+        get = lambda a, c: F.expr(f"transform({a}, y -> y.{c})").alias(c)
+        self.marks = marks.select("rid", get("l", "lo"), get("l", "hi"), get("m", "p"), get("m", "mask"))
+        self.marked = texts.where("touched = 1").select("rid", "sha", "row", "all_goes", own).join(self.marks, "rid")
+
+    @staticmethod
+    def whole(length: int) -> Column:
+        """Copies of a document that is long enough go as a whole."""
+        return (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+
+
+def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
+    """Per document: id, n_bytes, starts, ends, n_removed, kept_sha256; spans are in bytes, and null where nothing goes."""
+    found = _Found(docs, length, carry=False)
+    cut = found.marked.where("not all_goes").select("sha", "text", "lo", "hi", "p", "mask")
+    cut = cut.mapInArrow(_cutter(length, texts=False), "sha string, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
+    whole = _Found.whole(length)
+    out = found.rows.select("id", "sha").join(found.classes, "sha").join(cut, "sha", "left")
     return out.select(
-        "rid",
         "id",
         "n_bytes",
         F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.col("starts")).alias("starts"),
@@ -241,31 +266,8 @@ def repeated(docs: DataFrame, length: int = 400, key: str = "doc_id") -> DataFra
 
 def repeat_sizes(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    out = repeated(docs, length)
-    spans = F.coalesce(F.size(F.when(F.col("starts").isNotNull(), F.col("starts"))), F.lit(0))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.greatest(spans, F.lit(0)).cast("long").alias("n_spans"), "kept_sha256")
-
-
-def _whole_chars(raw: bytes, start: int, end: int) -> tuple[int, int]:
-    """The span without the parts of characters that it cuts."""
-    while start < end and raw[start] & 0xC0 == 0x80:
-        start += 1
-    while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
-        end -= 1
-    return start, end
-
-
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
-            raw, kept, at = text.encode(), [], 0
-            for s, e in zip(starts, ends, strict=True):
-                s, e = _whole_chars(raw, s, e)
-                kept.append(raw[at:s])
-                at = e
-            texts.append(b"".join([*kept, raw[at:]]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, type=pa.string())], names=["rid", "cut"])
+    spans = F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("starts"))
+    return repeated(docs, length).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", spans.cast("long").alias("n_spans"), "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -274,13 +276,14 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     A document left without words is dropped; one that had none stays as it is.
     """
     columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keyed = staged(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row")), "repeat-docs")
-    named = keyed.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    spans = repeated(named, length, "rid").where(F.col("n_removed") > 0).select("rid", "starts", "ends")
-    texts = named.select("rid", F.col("text").cast("string").alias("text")).join(spans, "rid").select("rid", "text", "starts", "ends")
-    cut = staged(texts.mapInArrow(_remover, "rid long, cut string"), "repeat-cut")
-    out = keyed.join(cut, "rid", "left").where(F.col("cut").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    found = _Found(docs, length, carry=True)
+    kind = T.StructType([found.texts.schema["row"], T.StructField("cut", T.StringType())])
+    cut = found.marked.where("not all_goes").select("row", "text", "lo", "hi", "p", "mask").mapInArrow(_cutter(length, texts=True), kind)
+    cut = cut.where(F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    # open anchors without a repeat of full length have no marks
+    same = found.texts.where("touched = 1 and not all_goes").join(found.marks.select("rid"), "rid", "left_anti")
+    same = same.select("row").unionByName(found.texts.where("touched = 0").select("row")).withColumn("cut", F.lit(None).cast("string"))
+    out = cut.unionByName(same)
     new = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in columns:
         new["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
