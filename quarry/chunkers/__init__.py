@@ -41,6 +41,7 @@ def chunked(files: DataFrame) -> DataFrame:
     """Chunks of files (file_path, language, content); a file that cannot be parsed is one row with its error."""
     known = dict(CHUNKERS)
     names = PARSED.fieldNames()
+    kinds = {"start_line": "Int32", "end_line": "Int32", "has_error_return": "boolean"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -52,6 +53,7 @@ def chunked(files: DataFrame) -> DataFrame:
                     rows += [{"file_path": path, "language": language, "error": None} | r for r in known[language](path, bytes(code))]
                 except Exception as error:  # one bad file must not stop the others
                     rows.append({"file_path": path, "language": language, "error": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=names).astype({"start_line": "Int32", "end_line": "Int32", "has_error_return": "boolean"})
+            columns = {c: pd.Series([r.get(c) for r in rows], dtype=kinds.get(c, "object")) for c in names}
+            yield pd.DataFrame(columns)
 
     return files.select("file_path", "language", "content").mapInPandas(run, PARSED)
