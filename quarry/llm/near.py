@@ -5,7 +5,8 @@ coordinates in bands of `rows`; at the threshold of 0.8 a pair shares no band of
 a band bucket are first checked against its most central member, the one in the fullest buckets. Of buckets that then
 still hold several components, small ones are paired in full; in large ones the members outside the largest component
 are checked against it, and against each other, in blocks of whole sets. Members that are already connected need no
-check, so no link that could change a component is skipped, and there is no cap.
+check, so no link that could change a component is skipped, and there is no cap. Every member is first checked against
+the one central member it shares most bands with. Texts are read twice and never shuffled; sets are, of candidates only.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; a text with fewer words than the
 shingle width is one shingle; a null doc_id is kept and is the group's id only if no other member has one; repeated
@@ -31,6 +32,8 @@ from quarry.scratch import staged
 SMALL = 32
 #: Sets checked against as many others in one go.
 BLOCK = 128
+#: Bits of the filter that tells which texts may be wanted again.
+FILTER_BITS = 1 << 24
 
 
 def set_hashes(items: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +64,24 @@ def _sketcher(width: int, coords: int, rows: int):
     return run
 
 
-def _setter(width: int):
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set where slots has a number."""
+    at = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in parts.toLocalIterator():
+        bits = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        out[(r["part"] - 1) * 4096 :][: len(bits)] = bits
+    return out
+
+
+def _setter(width: int, passing):
+    """Sets of the texts whose slot is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array(passing.value[slot >> 3] >> (slot & 7) & 1 == 1))
             buf, offsets = B.values(batch.column("text"))
             for i, j in B.runs(offsets):
                 items, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
@@ -95,6 +113,7 @@ def near_classes(
 
     key names a column that finds a document again in a second scan; component is the smallest class node reachable.
     """
+    spark = docs.sparkSession
     scan = docs.select(
         F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("id"),
@@ -113,15 +132,17 @@ def near_classes(
     central = hits.groupBy("node").agg(F.sum("c").alias("reach"))
     ranked = hits.join(central, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("reach", -F.col("node"))).alias("pivot"))
     star = hits.select("band", "node", "n").join(ranked.select("band", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("na")), "band")
-    star = star.where("node != a").where(_in_size("na", "n", threshold)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    star = staged(star, "near-pairs")
+    star = star.where("node != a").where(_in_size("na", "n", threshold)).groupBy("node", "a").agg(F.count(F.lit(1)).alias("bands"))
+    star = star.groupBy("node").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
+    star = staged(star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
 
     wanted = hits.select("node").distinct().join(classes.select("node", "h1", "h2", "key"), "node")
     wanted = staged(wanted, "near-wanted")
-    texts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    reps = wanted.select(F.col("key").alias("rep")).distinct()
-    texts = texts.join(reps, texts["key"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(width), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
+    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    # the filter's size is fixed; a text that passes by chance finds no partner in the join
+    passing = spark.sparkContext.broadcast(_bitmap(wanted.select(slot.alias("slot"))))
+    texts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text")).select(slot.alias("slot"), "text")
+    sets = texts.mapInArrow(_setter(width, passing), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
     sets = staged(sets if key == "rid" else sets.dropDuplicates(["node"]), "near-sets")
 
     links = staged(_verified(star, sets, threshold), "near-links")
