@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from quarry.llm import anchors as A
 from quarry.llm import bytes as B
+from quarry.llm.filters import marked
 from quarry.scratch import staged
 
 #: Windows of an anchor that are refined together.
@@ -202,7 +203,7 @@ class _Found:
     """Tables of one search: rows (rid, id, n_bytes, sha, ...), classes (sha, rep, copies), texts and marks by rid."""
 
     def __init__(self, docs: DataFrame, length: int, carry: bool):
-        """carry: texts holds every document with all its columns, else only the texts that may have repeats."""
+        """carry: texts and clean hold every document with all its columns, else texts those that may have repeats."""
         q = length // 2
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         scan = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
@@ -226,7 +227,10 @@ class _Found:
         touched = known.join(touched.withColumn("open", F.lit(True)), "rid", "left").where("open or all_goes" if carry else "open")
         touched = staged(touched.drop("open"), "repeat-touched")
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(F.col("text"))
-        again = docs.select(row.alias("row"), F.sha2(text, 256).alias("sha")).join(touched, "sha", "left" if carry else "inner")
+        again = marked(docs.select(row.alias("row"), F.sha2(text, 256).alias("sha")), touched.select("sha"), "sha")
+        #: documents that have no repeat for sure
+        self.clean = again.where("not may").select("row")
+        again = again.where("may").drop("may").join(touched, "sha", "left" if carry else "inner")
         again = again.withColumn("touched", F.col("rid").isNotNull().cast("int"))
         self.texts = texts = staged(again, "repeat-texts", ["touched"])
         own = F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")
@@ -282,7 +286,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     cut = cut.where(F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
     # open anchors without a repeat of full length have no marks
     same = found.texts.where("touched = 1 and not all_goes").join(found.marks.select("rid"), "rid", "left_anti")
-    same = same.select("row").unionByName(found.texts.where("touched = 0").select("row")).withColumn("cut", F.lit(None).cast("string"))
+    same = same.select("row").unionByName(found.texts.where("touched = 0").select("row")).unionByName(found.clean).withColumn("cut", F.lit(None).cast("string"))
     out = cut.unionByName(same)
     new = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in columns:
