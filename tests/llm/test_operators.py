@@ -1,0 +1,458 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quarry.llm import bytes as B
+from quarry.llm import digests, html_text, languages, mixing, near, ngram_model, packing, quality_model, quality_rules, repeats, shingles, sketch
+
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(WORD, text or "")
+
+
+def frame(spark, texts, **columns):
+    rows = [(i, t, *(columns[c][i] for c in columns)) for i, t in enumerate(texts)]
+    kinds = "doc_id long, text string" + "".join(f", {c} {'string' if c in ('lang', 'source') else 'int'}" for c in columns)
+    return spark.createDataFrame(rows, kinds).repartition(2)
+
+
+def corpus(n=120, seed=3):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        texts.append(" ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(rng.randrange(0, 160))))
+    return texts
+
+
+# words and hashes
+
+
+def test_words_and_hashes_equal_a_regular_expression():
+    texts = ["", " ", "a", "a b", "b", "\t\na\x0b\x0c\r b c ", "é É", "AB ab", *corpus(20)]
+    buf, offsets = B.values(pa.array(texts))
+    start, end, at = B.words(buf, offsets)
+    got = [[buf[start[k] : end[k]].tobytes().decode() for k in range(at[i], at[i + 1])] for i in range(len(texts))]
+    assert got == [words(t) for t in texts]
+    h = B.word_hashes(buf, start, end)
+    by_word = {}
+    for k in range(len(h)):
+        word = buf[start[k] : end[k]].tobytes().decode().translate(LOWER)
+        assert by_word.setdefault(word, h[k]) == h[k]
+    assert len(set(by_word.values())) == len(by_word)
+
+
+def test_null_rows_are_empty():
+    buf, offsets = B.values(pa.array(["a", None, "b"]).slice(1))
+    assert buf.tobytes() == b"b" and offsets.tolist() == [0, 0, 1]
+
+
+# 1: mixing
+
+
+def test_mix_reaches_its_targets(spark):
+    texts = corpus(300)
+    sources = ["a", "b", "c", "d", None]
+    docs = frame(spark, texts, source=[sources[0] if i % 3 else sources[i % 5] for i in range(300)])
+    rows = mixing.mix_sizes(docs, block_tokens=64).toPandas()
+    assert len(rows) == 300 and (rows["size"] == [len(words(texts[i])) for i in rows["doc_id"]]).all()
+    assert (rows["taken"] <= 2 * rows["size"]).all()
+    goals = rows.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(goals["taken"] - goals["target"]) <= 1).all()
+    again = mixing.mix_sizes(docs.repartition(5), block_tokens=64).toPandas()
+    assert sorted(map(tuple, again.to_numpy().tolist())) == sorted(map(tuple, rows.to_numpy().tolist()))
+
+
+def test_schedule_is_even(spark):
+    goal = spark.createDataFrame([("a", 6400, 5.0, 6400.0), ("b", 3200, 2.0, 3200.0), ("c", 320, 1.0, 320.0)], "source string, source_size long, weight double, target double")
+    per = mixing.plan_sources(goal, 64)
+    rows = mixing.schedule(per, 155).orderBy("slot").collect()
+    assert Counter(r["sid"] for r in rows) == {1: 100, 2: 50, 3: 5}
+    for upto in (31, 62, 93, 124):
+        seen = Counter(r["sid"] for r in rows if r["slot"] < upto)
+        assert abs(seen[1] - upto * 100 / 155) < 4 and abs(seen[2] - upto * 50 / 155) < 4
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    docs = frame(spark, corpus(60), source=["ab"[i % 2] for i in range(60)])
+    sizes = {r["doc_id"]: r["taken"] for r in mixing.mix_sizes(docs).collect()}
+    got = Counter()
+    for r in mixing.mix(docs).collect():
+        got[r["doc_id"]] += len(words(r["text"]))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in sizes.items() if v}
+
+
+# 2: repeats
+
+
+def brute_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abé \n") for _ in range(rng.randrange(20, 130))) for _ in range(12)]
+    texts = [None, "", "ab" * 100, "a" * 70] + ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 5))) for _ in range(40)]
+    texts += [t[: len(t) // 2] + "#" + t[len(t) // 2 :] for t in texts[4:16]]
+    want = brute_repeats(texts, 40)
+    got = {r["doc_id"]: r for r in repeats.repeat_sizes(frame(spark, texts), 40).collect()}
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
+
+
+def test_cut_texts_keep_whole_characters(spark):
+    shared = "é" * 30
+    texts = ["aa " + shared + " bb", "cc " + shared + " dd", "clean text of its own", shared * 2]
+    got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(frame(spark, texts), 40).collect()}
+    assert got[2] == texts[2] and "é" not in got[0] and got[0].startswith("aa") and got[0].endswith("bb") and 3 not in got
+
+
+# 3: language model
+
+
+def test_base_scores_and_held_out_gain(spark):
+    rng = random.Random(5)
+    pairs = {w: [rng.choice("abcdefghijklmnop") for _ in range(2)] for w in "abcdefghijklmnop"}
+    texts = []
+    for _ in range(200):
+        w = [rng.choice("abcdefghijklmnop")]
+        for _ in range(rng.randrange(1, 60)):
+            w.append(rng.choice(pairs[w[-1]]))
+        texts.append(" ".join(w))
+    rows = {r["doc_id"]: r for r in ngram_model.scored(frame(spark, texts), block_bytes=2000).collect()}
+    tokens = {i: [*words(t.translate(LOWER)), None] for i, t in enumerate(texts)}
+    counts = Counter(w for i in tokens if not rows[i]["held_out"] for w in tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    for i, own in tokens.items():
+        base = sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
+        assert rows[i]["base_score"] == pytest.approx(base) and rows[i]["n_tokens"] == len(own) and rows[i]["train_tokens"] == n
+    held = [r for r in rows.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
+
+
+def test_weights_are_shares():
+    events = np.array([3 << 40 | 5 << 20 | 9, 3 << 40 | 0 << 20 | 0, 1 << 40 | 0 << 20 | 7], dtype=np.int64)
+    w = ngram_model.learn_weights(events, np.array([10.0, 2.0, 4.0]), 100)
+    assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[3, 0] > w[1, 0]
+
+
+# 4: fingerprints
+
+
+def test_digests_round_trip_and_likeness():
+    texts = [t.encode() for t in corpus(30)] + [b"", b"ab", b"abc"]
+    code = digests._all_codes(texts)
+    assert (digests.unpacked(digests.packed(code)) == code).all()
+    assert (digests.likeness(code, code) == 1).all()
+    counts = Counter((texts[0][i : i + 3]) for i in range(len(texts[0]) - 2))
+    assert digests._all_codes([texts[0]]).shape == (1, 1 + digests.BUCKETS) and counts
+    far = digests.likeness(code[:10], code[10:20])
+    assert ((0 <= far) & (far < 1)).all()
+
+
+def test_edits_in_order_across_partitions(spark):
+    texts = corpus(50)
+    got = {r["doc_id"]: r for r in digests.edits(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        new, n = digests.edited(t, texts[(i + 1) % 50])
+        assert got[i]["n_chars"] == n == len(t) and got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+
+
+# 5: near duplicates
+
+
+def shingle_set(text, width):
+    w = words((text or "").translate(LOWER))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_shingle_sets(width):
+    texts = ["", "a", "a b", "A B a b a b", "a b c d", *corpus(20)]
+    buf, offsets = B.values(pa.array(texts))
+    items, at = shingles.shingle_sets(buf, offsets, width)
+    assert np.diff(at).tolist() == [len(shingle_set(t, width)) for t in texts]
+
+
+def test_sketches_estimate_similarity_and_fill():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
+    sets = [base[:900], base[100:], base[:1], base[:0]]
+    table = sketch.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 256)
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    assert (table[:3] != empty).all() and (table[3] == empty).all()
+    assert abs((table[0] == table[1]).mean() - 0.8) < 0.12
+
+
+@pytest.mark.parametrize(("small", "block"), [(32, 128), (2, 5)])
+def test_near_groups_equal_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(16):
+            own = list(base)
+            for k in rng.sample(range(60), rng.randrange(0, 7)):
+                own[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += ["", None, "one", "ONE", " "]
+    sets = [shingle_set(t, 2) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    rows = {r["doc_id"]: r for r in near.near_groups(frame(spark, texts)).collect()}
+    assert {i: rows[i]["component_id"] for i in rows} == {i: find(i) for i in range(len(texts))}
+    assert all(rows[i]["n_shingles"] == len(sets[i]) and rows[i]["kept"] == (find(i) == i) for i in rows)
+    assert near.keep_one(frame(spark, texts), 2).count() == sum(find(i) == i for i in range(len(texts)))
+
+
+# 6: pages
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("<p>", ""), ("plain words only here", "plain words only here"),
+        ("<article><h1>T &amp; U</h1><p>a\n b&nbsp;c<br>d</article><footer>f</footer>", "T & U\na b c\nd"),
+        ("<nav><p>menu words are here</p></nav><main><p>one two three four</p><aside>no</aside><p>five <a href='x'>six</a> seven</p></main>", "one two three four\nfive six seven"),
+        ("<body><div class='cookie-notice'>we use cookies</div><p>the text goes on here</p><div id=comments><p>so good</p></div></body>", "the text goes on here"),
+        ("<article><p>a &lt;b&gt; c<script>if (a<b) x('</p>')</script><style>p{}</style></p><!-- <p>no</p> --></article>", "a <b> c"),
+        ("<article><p>cut off in the mid", "cut off in the mid"), ("<header><p>top line</p></header><article><header><h1>Head line</h1></header><p>text here</p></article>", "Head line\ntext here"),
+    ],
+)
+def test_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_labelled_pages_give_their_regions_back():
+    for page in html_text.PAGES:
+        inside = page[page.index("<!--+-->") : page.index("<!---->")]
+        want = set(re.findall(r"\w+", re.sub(r"<[^>]*>", " ", inside)))
+        assert set(re.findall(r"\w+", html_text.main_text(page))) == want
+
+
+def test_pages_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a b c</p>", "x"), (2, None, None, None), (None, "v", "", "y")], "page_id long, url string, html string, text string")
+    got = {r["url"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
+    assert got == {"u": ("a b c", 5), None: ("", 0), "v": ("", 0)}
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# 7: packing
+
+
+def test_bounds_are_optimal():
+    rng = random.Random(2)
+    for _ in range(30):
+        histogram = {rng.randrange(1, 30): rng.randrange(1, 9) for _ in range(rng.randrange(1, 9))}
+        k = rng.randrange(1, 5)
+        bounds = packing.best_bounds(histogram, k)
+        cost = lambda bs: sum(c * (min(b for b in bs if b >= x) - x) for x, c in histogram.items())  # noqa: B023, E731
+        from itertools import combinations
+
+        lengths = sorted(histogram)
+        every = [(*c, lengths[-1]) for r in range(min(k, len(lengths))) for c in combinations(lengths[:-1], r)]
+        assert cost(bounds) == min(map(cost, every)) and len(bounds) <= k
+    assert packing.best_bounds({}, 3) == []
+
+
+def test_batches_fit(spark):
+    texts = [*corpus(150), "w " * 500, "", None]
+    rows = packing.pack(frame(spark, texts), max_len=64, n_buckets=4, batch_tokens=512).collect()
+    total = Counter()
+    for r in rows:
+        total[r["doc_id"]] += r["n_words"]
+        assert r["n_words"] <= r["bucket"] <= 64
+    assert total == Counter({i: len(words(t)) for i, t in enumerate(texts)})
+    places = Counter((r["bucket"], r["batch"]) for r in rows if r["n_words"])
+    assert all(n * bucket <= 512 for (bucket, _), n in places.items())
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in rows if r["n_words"]}) == sum(places.values())
+
+
+# 8: quality rules
+
+
+def brute_rules(text, least):
+    text = text or ""
+    w = words(text)
+    n = len(w)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(WORD, line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(w[i : i + 3]) for i in range(n - 2))
+    hit = {i + k for i in range(n - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    order = sorted(range(n), key=lambda i: w[i:])
+    value = [0] * n
+    for a, b in zip(order, order[1:], strict=False):
+        k = 0
+        while max(a, b) + k < n and w[a + k] == w[b + k]:
+            k += 1
+        value[a], value[b] = max(value[a], k), max(value[b], k)
+    spans = {k for i in range(n) if value[i] >= least for k in range(i, i + value[i])}
+    return [n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(spans), max((x for x in value if x >= least), default=0)]
+
+
+def test_measures_equal_brute_force():
+    rng = random.Random(4)
+    texts = ["", " ", "\n\n", "a", "a a a a a a a a", "x y\nx y\nx y\n\n \n", "é" * 4]
+    for _ in range(120):
+        letters = rng.choices("abcé#", k=rng.randrange(1, 4))
+        texts.append("".join(rng.choice(letters) + rng.choice(" \n\t") for _ in range(rng.randrange(0, 70))))
+    for least in (2, 3, 8):
+        got = np.stack(quality_rules.measures(*B.values(pa.array(texts)), least), axis=1).tolist()
+        assert got == [brute_rules(t, least) for t in texts]
+
+
+def test_verdicts(spark):
+    rng = random.Random(9)
+    clean = " ".join(f"w{rng.randrange(10**5)}" for _ in range(200))
+    block = " ".join(f"v{k}" for k in range(70))
+    texts = [clean, "too short", "ab " * 100, clean + " " + block + " mid " + block, None]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.judged(frame(spark, texts)).collect()}
+    assert got[0] == (False, True) and got[1] == got[4] == (True, False) and got[2] == (True, False)
+    assert got[3] == (False, False) or got[3] == (False, True)
+
+
+# 9: languages
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "ab", "b", "abc", "c"])}
+    tree = languages.prefix_tree(pieces)
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.dirichlet(np.ones(len(pieces) + 1), size=2).T)
+
+    def total(word, k):
+        if not word:
+            return 1.0
+        out = sum(np.exp(logs[pieces[word[:j]], k]) * total(word[j:], k) for j in range(1, len(word) + 1) if word[:j] in pieces)
+        return out + (0 if word[0] in pieces else np.exp(logs[-1, k]) * total(word[1:], k))
+
+    samples = ["abcab", "a", "", "zab", "ccc"]
+    got = languages.Lattice(samples, tree).scores(logs)
+    assert np.allclose(got, [[np.log(total("▁" + w, k)) for k in range(2)] for w in samples])
+
+
+def test_languages_on_held_out_rows(spark):
+    rng = random.Random(6)
+    kinds = {"de": ["und", "der", "schön", "keit", "ung"], "en": ["the", "and", "tion", "ing", "of"]}
+    lang = [rng.choice(["de", "en"]) for _ in range(200)]
+    texts = [" ".join("".join(rng.choices(kinds[k], k=2)) for _ in range(12)) for k in lang]
+    docs = frame(spark, texts, lang=lang)
+    rows = languages.predicted(docs, languages.learned(docs)).collect()
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]) == sum(r["held_out"] for r in rows) > 20
+
+
+def test_language_without_labels_or_letters(spark):
+    docs = frame(spark, ["123 ...", None, "", "words"], lang=[None] * 4)
+    rows = languages.predicted(docs, languages.learned(docs)).collect()
+    assert {r["lang_pred"] for r in rows} == {"und"} and {r["score"] for r in rows} == {0.0}
+
+
+# 10: quality model
+
+
+def test_quality_model_on_held_out_rows(spark):
+    rng = random.Random(8)
+    labels = [int(rng.random() < 0.7) for _ in range(300)]
+    texts = [" ".join(f"w{rng.randrange(300)}" + ("" if q else rng.choice(["!!", "$$"])) for _ in range(rng.randrange(5, 60))) for q in labels]
+    docs = frame(spark, texts)
+    table = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    rows = quality_model.scored(docs, quality_model.learned(docs, table)).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 30 and sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.97 * len(held)
+
+
+def test_hinge_fit_separates():
+    rows = [np.array([0, 2], dtype=np.uint32), np.array([1, 2], dtype=np.uint32)] * 4
+    model = quality_model.fit(rows, np.array([1, 0] * 4))
+    m = quality_model.margins(rows, model.ratio, model.weight, model.bias)
+    assert (m[::2] > 0).all() and (m[1::2] < 0).all()
+
+
+@pytest.mark.parametrize("y", [[], [1, 1], [0]])
+def test_one_kind_of_label(y):
+    model = quality_model.fit([np.array([1], dtype=np.uint32)] * len(y), np.array(y))
+    assert model.slope == 0.0
+
+
+# odd tables
+
+
+OPERATORS = {
+    "mix_sizes": mixing.mix_sizes,
+    "mix": mixing.mix,
+    "repeat_sizes": repeats.repeat_sizes,
+    "without_repeats": repeats.without_repeats,
+    "ngram": ngram_model.scored,
+    "edits": digests.edits,
+    "fingerprints": digests.fingerprints,
+    "near_groups": near.near_groups,
+    "keep_one": near.keep_one,
+    "pack": packing.pack,
+    "judged": quality_rules.judged,
+    "languages": lambda d: languages.predicted(d, languages.learned(d)),
+    "accepted": lambda d: languages.accepted(d, languages.learned(d)),
+    "quality": lambda d: quality_model.scored(d, quality_model.learned(d, d.selectExpr("doc_id", "cast(length(text) % 2 as int) as quality"))),
+}
+SAME_COLUMNS = {"mix", "without_repeats", "keep_one", "accepted"}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_tables(spark, odd_docs, no_docs, name):
+    out = OPERATORS[name](odd_docs)
+    n = len(out.collect())
+    if name in SAME_COLUMNS:
+        assert out.columns == odd_docs.columns and n
+    elif name not in ("pack", "mix_sizes"):
+        assert n == odd_docs.count()
+    empty = OPERATORS[name](no_docs)
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_pipeline_stages(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["language", "near", "repeats", "mix", "pack"]
+    kept = corpus_pipeline.near_duplicates(spark, docs, small)
+    sets = {r["doc_id"]: shingle_set(r["text"], 5) for r in docs.collect()}
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    linked = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert not any(linked(a, b) for a in ids for b in ids if a < b)
+    assert all(any(linked(a, b) for b in sets if b != a) for a in set(sets) - set(ids))
+    rows = corpus_pipeline.run(spark, small)
+    assert rows.count() > 0 and "batch" in rows.columns
