@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +15,14 @@ from pyspark.sql.types import StructType
 from quarry.schema import FILE_EVENT
 from quarry.sources.tree import source_paths
 
-GAP = "5 seconds"
+GAP = timedelta(seconds=5)
 RELEVANT = ("create", "write", "remove", "rename")
 
 
-def bursts(events: DataFrame, keys: list[str], ts: str = "ts", gap: str = GAP) -> DataFrame:
+def bursts(events: DataFrame, keys: list[str], ts: str = "ts", gap: timedelta = GAP) -> DataFrame:
     """Bursts of events less than gap apart: keys, burst_start, burst_end (of its last event), n_events."""
-    window = F.session_window(F.col(ts), gap)
+    # sessions that touch are one, and an event a full gap later is not of the burst
+    window = F.session_window(F.col(ts), f"{gap // timedelta(microseconds=1) - 1} microseconds")
     out = events.groupBy(*keys, window.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("burst_end"))
     return out.select(*keys, F.col("w.start").alias("burst_start"), "burst_end", "n_events")
 
@@ -54,10 +55,10 @@ class _TreeReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         state = self._state()
-        return self._events(start["files"], state), {"files": state}
+        return iter(list(self._events(start["files"], state))), {"files": state}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._events(start["files"], end["files"])
+        return iter(list(self._events(start["files"], end["files"])))
 
     def commit(self, end: dict) -> None:
         pass
@@ -80,7 +81,7 @@ class TreeEvents(DataSource):
         return _TreeReader(self.options["path"])
 
 
-def keep_fresh(events: DataFrame, refresh: Callable[[], object], checkpoint: str, every: str = GAP) -> StreamingQuery:
+def keep_fresh(events: DataFrame, refresh: Callable[[], object], checkpoint: str, every: str = f"{GAP.seconds} seconds") -> StreamingQuery:
     """Refresh once for all events of a trigger interval; an error is logged and the stream goes on."""
 
     def handle(batch: DataFrame, number: int) -> None:
