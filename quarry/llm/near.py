@@ -107,15 +107,16 @@ def _in_size(a: str, b: str, threshold: int):
 
 
 def near_classes(
-    docs: DataFrame, key: str = "doc_id", width: int = 2, threshold: int = 80, coords: int = 128, rows: int = 4
+    docs: DataFrame, key: str = "doc_id", width: int = 2, threshold: int = 80, coords: int = 128, rows: int = 4, numbered: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (rid, id, n_shingles, h1, h2) and classes (h1, h2, first_rid, first_id, component).
 
     key names a column that finds a document again in a second scan; component is the smallest class node reachable.
+    numbered: key holds a number of its own for every row, kept as rid.
     """
     spark = docs.sparkSession
     scan = docs.select(
-        F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid"),
+        F.col(key).alias("rid") if numbered else F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("id"),
         F.col(key).cast("string").alias("key"),
         F.col("text").cast("string").alias("text"),
@@ -143,7 +144,7 @@ def near_classes(
     passing = spark.sparkContext.broadcast(_bitmap(wanted.select(slot.alias("slot"))))
     texts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text")).select(slot.alias("slot"), "text")
     sets = texts.mapInArrow(_setter(width, passing), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
-    sets = staged(sets if key == "rid" else sets.dropDuplicates(["node"]), "near-sets")
+    sets = staged(sets if numbered else sets.dropDuplicates(["node"]), "near-sets")
 
     links = staged(_verified(star, sets, threshold), "near-links")
     labels = staged(components(links, "a", "b"), "near-labels")
@@ -241,7 +242,7 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     keyed = staged(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row")), "near-docs")
-    rows, classes = near_classes(keyed.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), "rid", width, threshold)
+    rows, classes = near_classes(keyed.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), "rid", width, threshold, numbered=True)
     grouped = rows.where("n_shingles > 0").join(classes, ["h1", "h2"])
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")).select("first.rid")
     kept = first.unionByName(rows.where("n_shingles = 0").select("rid"))
