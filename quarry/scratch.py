@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_local = threading.local()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, or one of our own where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,11 +47,36 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for paths in getattr(_local, "recording", ()):
+        paths.append(path)
+    # what fed the table is unreachable now; the cleaner removes its shuffle files once the driver has collected it
+    spark._jvm.System.gc()
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove this application's staged tables."""
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that this thread stages meanwhile."""
+    paths: list[str] = []
+    _local.recording = [*getattr(_local, "recording", ()), paths]
+    try:
+        yield paths
+    finally:
+        _local.recording = _local.recording[:-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged tables whose readers have all been written."""
+    while paths:
+        _delete(spark, paths.pop())
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove this application's staged tables."""
+    _delete(spark, _folder(spark))
