@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bytes as B
+from quarry.llm.filters import marked
 from quarry.llm.shingles import shingle_sets
 from quarry.llm.sketch import band_keys, sketches
 from quarry.operators.components import components
@@ -107,16 +108,15 @@ def _in_size(a: str, b: str, threshold: int):
 
 
 def near_classes(
-    docs: DataFrame, key: str = "doc_id", width: int = 2, threshold: int = 80, coords: int = 128, rows: int = 4, numbered: bool = False
+    docs: DataFrame, key: str = "doc_id", width: int = 2, threshold: int = 80, coords: int = 128, rows: int = 4
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, id, n_shingles, h1, h2) and classes (h1, h2, first_rid, first_id, component).
+    """Rows (rid, id, key, n_shingles, h1, h2) and classes (h1, h2, first_rid, first_id, component).
 
     key names a column that finds a document again in a second scan; component is the smallest class node reachable.
-    numbered: key holds a number of its own for every row, kept as rid.
     """
     spark = docs.sparkSession
     scan = docs.select(
-        F.col(key).alias("rid") if numbered else F.monotonically_increasing_id().alias("rid"),
+        F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("id"),
         F.col(key).cast("string").alias("key"),
         F.col("text").cast("string").alias("text"),
@@ -144,7 +144,7 @@ def near_classes(
     passing = spark.sparkContext.broadcast(_bitmap(wanted.select(slot.alias("slot"))))
     texts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text")).select(slot.alias("slot"), "text")
     sets = texts.mapInArrow(_setter(width, passing), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
-    sets = staged(sets if numbered else sets.dropDuplicates(["node"]), "near-sets")
+    sets = staged(sets.dropDuplicates(["node"]), "near-sets")
 
     links = staged(_verified(star, sets, threshold), "near-links")
     labels = staged(components(links, "a", "b"), "near-labels")
@@ -157,7 +157,7 @@ def near_classes(
     out = classes.select("h1", "h2", "node", "first_id").join(labels, "node", "left")
     out = out.withColumn("component", F.coalesce("component", "node"))
     smallest = out.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return found.drop("bands", "key"), out.join(smallest, "component").select("h1", "h2", "node", "component", "component_id")
+    return found.drop("bands"), out.join(smallest, "component").select("h1", "h2", "node", "component", "component_id")
 
 
 def _named(hits: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,12 +238,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", width: int = 2, threshold:
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """docs without the documents whose group has an earlier one; of equal ids the first row stays."""
+    """docs without the documents whose group has an earlier one; of equal ids the first row stays.
+
+    A digest of id and text finds the rows again. Only texts that may go are shuffled, all others pass a filter.
+    """
     columns = docs.columns
+    doc_id, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
+    digest = F.md5(F.concat(F.coalesce(doc_id, F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))))
+    rows, classes = near_classes(docs.select("doc_id", "text", digest.alias("key")), "key", width, threshold)
+    grouped = rows.where("n_shingles > 0").join(classes, ["h1", "h2"]).select("component", "rid", "id", "key")
+    grouped = staged(grouped, "near-grouped")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    first = grouped.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a group's rows with the first one's digest are the same document again
+    found = grouped.join(first.select("component", F.col("first.rid").alias("first")), "component")
+    fate = found.groupBy("key").agg(F.max(F.col("rid") == F.col("first")).alias("once"), F.count(F.lit(1)).alias("n")).where("not once or n > 1").select("key", "once")
+    fate = staged(fate, "near-fate")
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keyed = staged(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row")), "near-docs")
-    rows, classes = near_classes(keyed.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), "rid", width, threshold, numbered=True)
-    grouped = rows.where("n_shingles > 0").join(classes, ["h1", "h2"])
-    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")).select("first.rid")
-    kept = first.unionByName(rows.where("n_shingles = 0").select("rid"))
-    return keyed.join(kept, "rid", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    told = marked(docs.select(row.alias("row"), digest.alias("key")), fate.select("key"), "key")
+    again = told.where("may").select("row", "key").join(fate, "key", "left")
+    kept = told.where("not may").select("row").unionByName(again.where("once is null").select("row"))
+    kept = kept.unionByName(again.where("once").dropDuplicates(["key"]).select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
