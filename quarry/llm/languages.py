@@ -81,9 +81,10 @@ class Lattice:
                     piece.append(unknown)
             node += n + 1
             first.append(node)
-        self.first = np.array(first, dtype=np.int64)
-        self.start, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (starts, ends, piece))
-        self.word = np.searchsorted(self.first, self.start, side="right") - 1
+        # narrow, as the fit keeps the lattices of all words
+        self.first = np.array(first, dtype=np.int32)
+        self.start, self.end, self.piece = (np.array(x, dtype=np.int32) for x in (starts, ends, piece))
+        self.word = (np.searchsorted(self.first, self.start, side="right") - 1).astype(np.int32)
         self.last = self.first[1:] - 1
 
     def _sweep(self, weight: np.ndarray, here: np.ndarray, there: np.ndarray, level: np.ndarray, at: np.ndarray) -> np.ndarray:
