@@ -49,8 +49,6 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer.parquet(path)
     for paths in getattr(_local, "recording", ()):
         paths.append(path)
-    # what fed the table is unreachable now; the cleaner removes its shuffle files once the driver has collected it
-    spark._jvm.System.gc()
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
