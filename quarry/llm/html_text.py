@@ -1,9 +1,13 @@
 """Main text of web pages: the maximum-scoring contiguous run of words and tags.
 
 A page is a sequence of words and tags. A word scores by where it stands (inside an article element, in plain flow,
-in a link, outside the page's article, in boilerplate); a tag scores by its name. The scores are log ratios counted
-on labelled pages. One linear scan finds the run with the highest sum; what lies in boilerplate inside that run
-(asides, forms, comments, adverts) is left out, and the rest is joined block by block.
+in a link, outside the page's article); a tag scores by its name. The scores are log ratios counted on labelled
+pages. One linear scan finds the run with the highest sum. Boilerplate (asides, forms, comments, adverts) scores 0, so
+that it cannot split the run; it is left out, and the rest is joined block by block.
+
+Words outside article and main elements are left out only where one of these stands outside boilerplate and has words.
+A main in boilerplate that is not hidden ends it. So does an article if only a form or a word of a class or id makes
+the boilerplate, no class or id of its own says the same, and the page has no article or main outside boilerplate.
 
 Defined results: a null or empty page has empty text, as has a page without words outside boilerplate; character
 references are decoded once; white space in a block becomes one space; blocks are joined by one newline. Broken
@@ -50,6 +54,7 @@ BOILER_WORDS = {
 }
 HEADER_WORDS = {"header", "head", "topnav", "siteheader"}
 MAIN_TAGS = {"article", "main"}
+WRAPPER, PART, UNSEEN = 1, 2, 3
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: An opening tag of these ends an open one of the same kind.
 CLOSES_P = {
@@ -63,69 +68,85 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)}
 
 
-def _is_boiler(name: str, attrs: str, in_main: bool) -> bool:
-    if name in BOILER_TAGS or name == "header" and not in_main:
-        return True
-    if not attrs.strip() or name in ("html", "body", "article", "main"):
-        return False
-    has = _attributes(attrs)
-    if "hidden" in has or has.get("aria-hidden") == "true" or has.get("role", "").lower() in BOILER_ROLES:
-        return True
-    if "display:none" in has.get("style", "").replace(" ", "").lower():
-        return True
+def _named(has: dict[str, str], in_main: bool) -> bool:
+    """Whether a word of the class or id speaks of boilerplate."""
     words = {w.lower() for w in PARTS.findall(f"{has.get('class', '')} {has.get('id', '')}")}
     return bool(words & BOILER_WORDS) or not in_main and bool(words & HEADER_WORDS)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, text): a tag of that name, or text that stands in a place of that name; notes as they come."""
-    has_main = re.search(r"<(?:article|main)\b", page, re.I) is not None
-    stack: list[tuple[str, bool]] = []
-    boiler = main = links = at = 0
+def _boiler(name: str, attrs: str, in_main: bool) -> int:
+    """What kind of boilerplate an element is: 0 for none, else one of WRAPPER, PART, UNSEEN."""
+    has = _attributes(attrs) if attrs.strip() and name not in ("html", "body", *MAIN_TAGS) else {}
+    if "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "").lower():
+        return UNSEEN
+    if name in BOILER_TAGS and name != "form" or name == "header" and not in_main or has.get("role", "").lower() in BOILER_ROLES:
+        return PART
+    return WRAPPER if name == "form" or has and _named(has, in_main) else 0
+
+
+def tokens(page: str) -> list[tuple[str, str, str]]:
+    """(kind, text, place): a tag's name or a text, and where it stands; notes as they come."""
+    found = list(_placed(page))
+    # a real article: one outside boilerplate, with words
+    has_main = any(kind == "text" and place == "main" and not text.isspace() for kind, text, place in found)
+    final = {"wrapped": "boiler", "link": "outside", "plain": "outside"} if has_main else {"wrapped": "main"}
+    return [(kind, text, final.get(place, place)) for kind, text, place in found]
+
+
+def _placed(page: str) -> Iterator[tuple[str, str, str]]:
+    """tokens as if there were no real article; "wrapped" in an article that may end the boilerplate around it."""
+    stack: list[tuple[str, int, tuple[list[int], bool] | None]] = []
+    boiler = [0, 0, 0, 0]  # open elements of each kind
+    wrapped = False
+    main = links = at = 0
 
     def pop() -> None:
-        nonlocal boiler, main, links
-        name, was = stack.pop()
-        boiler -= was
+        nonlocal boiler, wrapped, main, links
+        name, kind, before = stack.pop()
+        boiler[kind] -= 1
+        if before:
+            boiler, wrapped = before
         main -= name in MAIN_TAGS
         links -= name == "a"
 
     def place() -> str:
-        return "boiler" if boiler else "outside" if has_main and not main else "main" if main else "link" if links else "plain"
+        return "boiler" if any(boiler[1:]) else "wrapped" if wrapped else "main" if main else "link" if links else "plain"
 
     while True:
         m = TOKEN.search(page, at)
         upto = m.start() if m else len(page)
         if upto > at:
-            yield "text", place(), page[at:upto]
+            yield "text", page[at:upto], place()
         if not m:
             return
         at = m.end()
         if m["note"] is not None:
-            yield "note", m["note"], ""
+            yield "note", m["note"], place()
         elif m["cdata"] is not None:
-            yield "text", place(), html.escape(m["cdata"])
+            yield "text", html.escape(m["cdata"]), place()
         elif m["name"]:
             name = m["name"].lower()
             if m["close"]:
                 if name in RAW or name in VOID:
                     if name == "br":
-                        yield "tag", name, ""
+                        yield "tag", name, place()
                     continue
-                if any(n == name for n, _ in stack):
+                # the closing tag of boilerplate lies in it
+                where = place()
+                if any(n == name for n, *_ in stack):
                     while stack:
                         last = stack[-1][0]
                         pop()
                         if last == name:
                             break
-                yield "tag", f"/{name}", ""
+                yield "tag", f"/{name}", where
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
-                yield "tag", name, ""
+                yield "tag", name, place()
                 continue
-            if name in CLOSES_P and any(n == "p" for n, _ in stack[-4:]):
+            if name in CLOSES_P and any(n == "p" for n, *_ in stack[-4:]):
                 while stack and stack[-1][0] in INLINE:
                     pop()
                 if stack and stack[-1][0] == "p":
@@ -133,12 +154,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if stack and name in SIBLINGS and stack[-1][0] in SIBLINGS[name]:
                 pop()
             if name not in VOID and not m["attrs"].endswith("/"):
-                was = _is_boiler(name, m["attrs"], main > 0)
-                stack.append((name, was))
-                boiler += was
+                before = None
+                if name in MAIN_TAGS and any(boiler[1:]):
+                    ends = not boiler[UNSEEN] and (name == "main" or not boiler[PART] and not _named(_attributes(m["attrs"]), main > 0))
+                    if ends:
+                        before, wrapped = (boiler, wrapped), name != "main"
+                        boiler = [0, 0, 0, 0]
+                kind = _boiler(name, m["attrs"], main > 0)
+                stack.append((name, kind, before))
+                boiler[kind] += 1
                 main += name in MAIN_TAGS
                 links += name == "a"
-            yield "tag", name, ""
+            yield "tag", name, place()
 
 
 def fit_weights(pages: Iterable[str] = PAGES) -> dict[str, float]:
@@ -147,13 +174,15 @@ def fit_weights(pages: Iterable[str] = PAGES) -> dict[str, float]:
     outside: Counter[str] = Counter()
     for page in pages:
         counts = outside
-        for kind, name, text in tokens(page):
+        for kind, text, place in tokens(page):
             if kind == "note":
-                counts = inside if name == "+" else outside
+                counts = inside if text == "+" else outside
+            elif place == "boiler":
+                continue
             elif kind == "text":
-                counts[f"word {name}"] += len(text.split())
+                counts[f"word {place}"] += len(text.split())
             else:
-                counts[f"tag {name.lstrip('/')}"] += 1
+                counts[f"tag {text.lstrip('/')}"] += 1
     words = [k for k in {*inside, *outside} if k.startswith("word")]
     weights = {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in words}
     for k in {*inside, *outside} - set(words):
@@ -173,17 +202,16 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     parts: list[tuple[int, str]] = []  # (token number, text or "" for a block's edge)
     total = best = 0.0
     begin, region = 0, (0, -1)
-    for number, (kind, name, text) in enumerate(tokens(page)):
+    for number, (kind, text, place) in enumerate(tokens(page)):
         if kind == "note":
             continue
         if kind == "text":
-            n = len(text.split())
-            score = n * weights.get(f"word {name}", 0.0)
-            if name not in ("boiler", "outside"):
+            score = len(text.split()) * weights.get(f"word {place}", 0.0) if place != "boiler" else 0.0
+            if place not in ("boiler", "outside"):
                 parts.append((number, text))
         else:
-            bare = name.lstrip("/")
-            score = weights.get(f"tag {bare}", OTHER_TAG)
+            bare = text.lstrip("/")
+            score = weights.get(f"tag {bare}", OTHER_TAG) if place != "boiler" else 0.0
             if bare not in INLINE:
                 parts.append((number, ""))
         if total <= 0:

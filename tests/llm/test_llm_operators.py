@@ -255,6 +255,25 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>one two three four five six</h1><div class='ad'>a b c d e f g h</div><p>the text</p></article>", "one two three four five six\nthe text"),
+        ("<article><p>a lead</p><aside>a longer notice than the lead above it</aside><p>the tail</p></article>", "a lead\nthe tail"),
+        ("<div class='content-sidebar'><article><p>the real text</p></article><div class='sidebar'>side</div></div>", "the real text"),
+        ("<div class='comments-open'><main><p>the real text</p></main></div>", "the real text"),
+        ("<form><article><p>the real text</p></article></form>", "the real text"),
+        ("<!-- <article> --><p>plain words here</p><script>'<main>'</script>", "plain words here"),
+        ("<p>plain words here</p><aside><article><p>teaser</p></article></aside>", "plain words here"),
+        ("<main></main><p>plain words here</p>", "plain words here"),
+        ("<article><p>the real text</p></article><div class='comments'><article><p>so good</p></article></div>", "the real text"),
+        ("<div hidden><main>unseen</main></div><p>plain words here</p>", "plain words here"),
+    ],
+)
+def test_boilerplate_hides_no_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_labelled_pages_give_their_regions_back():
     for page in html_text.PAGES:
         inside = page[page.index("<!--+-->") : page.index("<!---->")]
