@@ -105,6 +105,54 @@ def vector_similarity(spark, sf):
     return e.select("vec_id", F.round(cosine(doubled, q), 6).alias("cosine"), F.round(raw_similarity(doubled, q), 6).alias("raw"))
 
 
+def query_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of a block search: every row whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+ASKED = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)"
+SCORED_BLOCK = f"""WITH {CHUNKS}, {ASKED},
+s AS (SELECT c.*, q.query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id, q)"""
+
+
+@query(f"""{SCORED_BLOCK}, hits AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_key ORDER BY score DESC, doc_id) AS rn FROM hits),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rn > 1, score DESC, doc_id) AS INTEGER) AS place FROM r)
+SELECT query_id, place, doc_id, file_key, score FROM p WHERE place <= {K}""")
+def diverse_topk_block(spark, sf):
+    chunks = vector_chunks(spark, sf).select("doc_id", "file_key", "embedding")
+    hits = search.topk_block(chunks, query_block(spark, sf), search.overfetch(K), ["doc_id"])
+    return search.diverse_block(hits, K, "file_key", ["doc_id"]).select("query_id", "place", "doc_id", "file_key", "score")
+
+
+@query(f"""WITH {ASKED}, s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS place FROM s)
+SELECT query_id, place, vec_id, score FROM p WHERE place <= {K}""")
+def topk_plain_block(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return search.topk_block(rows, query_block(spark, sf), K, ["vec_id"]).select("query_id", "place", "vec_id", "score")
+
+
+@query(f"""{SCORED_BLOCK}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, start_line) AS rn FROM s WHERE language <> 'fr'),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rn > 1, score DESC, file_path, start_line) AS INTEGER) AS place FROM r)
+SELECT query_id, place, CASE WHEN file_path LIKE 'src1/%' THEN substr(file_path, 6) ELSE file_path END AS file_path, start_line, end_line, content, score FROM p WHERE place <= {K}""")
+def semantic_search_block(spark, sf):
+    live = vector_chunks(spark, sf).where("language <> 'fr'").select("doc_id", "file_path", "start_line", "embedding")
+    hits = search.spread_block(live, query_block(spark, sf), K, "file_path", ["file_path", "start_line"])
+    # the texts meet the hits only
+    hits = hits.join(chunk_rows(spark, sf).select("doc_id", "end_line", "content"), "doc_id")
+    return hits.select("query_id", "place", search.relative(F.col("file_path"), "src1").alias("file_path"), "start_line", "end_line", "content", "score")
+
+
+@query(f"""WITH {ASKED}, e AS (SELECT query_id, vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 2) AS w, q.v FROM embeddings, q)
+SELECT query_id, vec_id, round(list_cosine_similarity(w, v), 6) AS cosine,
+  round(list_dot_product(w, v) / (list_dot_product(w, w) * list_dot_product(v, v)), 6) AS raw FROM e""")
+def vector_similarity_block(spark, sf):
+    doubled = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 2).alias("w"))
+    both, q = doubled.crossJoin(query_block(spark, sf)), F.col("query_vector")
+    return both.select("query_id", "vec_id", F.round(cosine(F.col("w"), q), 6).alias("cosine"), F.round(raw_similarity(F.col("w"), q), 6).alias("raw"))
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, language, end_line - start_line + 1 AS lines FROM chunks WHERE language IN ('de', 'fr') AND end_line - start_line + 1 BETWEEN 3 AND 12")
 def chunk_filter(spark, sf):
     kept = chunk_rows(spark, sf).where(duplicates.matches(["de", "fr"], 3, 12))

@@ -89,6 +89,24 @@ def test_diverse(spark, k):
     assert [tuple(r) for r in search.diverse(df, k, "file", ["id"]).collect()] == two_passes(hits, k)
 
 
+@pytest.mark.parametrize("k", [0, 1, 3, 9, 40])
+def test_block_search_equals_single_queries(spark, k):
+    rng = random.Random(k)
+    vectors = [[float(rng.randrange(-2, 3)) for _ in range(rng.choice([3, 3, 3, 4]))] for _ in range(36)] + [[0.0] * 3, None]
+    rows = [(i, f"f{rng.randrange(6)}", v) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "id long, file string, embedding array<double>")
+    asked = [0, 5, 10, 36]
+    queries = spark.createDataFrame([(i, vectors[i]) for i in asked] + [(99, None)], "query_id long, query_vector array<double>")
+    top, wide = (f(chunks, queries, k, *key, ["id"], rows=10, asked=2).orderBy("query_id", "place").collect() for f, key in [(search.topk_block, []), (search.spread_block, ["file"])])
+    want_top, want_wide = [], []
+    for i in asked:
+        want_top += [(i, n, r["id"], r["score"]) for n, r in enumerate(search.topk(chunks, vectors[i], k, ["id"]).collect(), 1)]
+        hits = [tuple(r) for r in search.scored(chunks, vectors[i]).select("id", "file", "score").collect()]
+        want_wide += [(i, n, r[0], r[2]) for n, r in enumerate(two_passes(hits, k), 1)]
+    shown = lambda found: [(r["query_id"], r["place"], r["id"], r["score"]) for r in found]
+    assert shown(top) == want_top and shown(wide) == want_wide
+
+
 def test_snapshots_of_empty_tables(spark):
     none = spark.createDataFrame([], "file_path string, file_hash string")
     some = spark.createDataFrame([("a", "1"), ("b", "2")], "file_path string, file_hash string")
