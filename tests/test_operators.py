@@ -107,6 +107,17 @@ def test_block_search_equals_single_queries(spark, k):
     assert shown(top) == want_top and shown(wide) == want_wide
 
 
+def test_search_finds_live_hits_behind_gone_and_hot_files(spark):
+    gone = [(f"gone{i}", 1, 2, "g", [1.0, 0.0]) for i in range(40)] + [(None, 1, 2, "n", [1.0, 0.0])] * 40
+    hot = [("hot", i, i, "h", [1.0, 0.1]) for i in range(40)]
+    rest = [(f"live{i}", 1, 2, "l", [1.0, 1.0 + i]) for i in range(3)]
+    chunks = spark.createDataFrame(gone + hot + rest, "file_path string, start_line long, end_line long, content string, embedding array<double>")
+    live = spark.createDataFrame([("hot",), ("live0",), ("live1",), ("live2",)], "file_path string")
+    found = [(r["file_path"], r["start_line"]) for r in search.search(chunks, [1.0, 0.0], 5, live).collect()]
+    assert found == [("hot", 0), ("live0", 1), ("live1", 1), ("live2", 1), ("hot", 1)]
+    assert search.search(chunks, [1.0, 0.0], 2, live).count() == 2 and search.search(chunks, [1.0, 0.0], 0, live).count() == 0
+
+
 def test_snapshots_of_empty_tables(spark):
     none = spark.createDataFrame([], "file_path string, file_hash string")
     some = spark.createDataFrame([("a", "1"), ("b", "2")], "file_path string, file_hash string")
