@@ -194,6 +194,29 @@ def duplicate_groups(spark, sf):
     return groups.select("root", "size", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.round("avg_score", 6).alias("avg_score"))
 
 
+@query(f"""WITH RECURSIVE {CHUNKS}, k AS (SELECT min(c.doc_id) AS id FROM chunks c JOIN embeddings v ON v.vec_id = c.doc_id GROUP BY c.code_hash),
+{PAIRS}, j AS (SELECT p.a, p.b, p.score FROM pairs p JOIN chunks x ON x.doc_id = p.a JOIN chunks y ON y.doc_id = p.b
+  WHERE p.a IN (SELECT id FROM k) AND p.b IN (SELECT id FROM k)
+    AND NOT ((x.file_path = y.file_path AND (x.start_line = y.start_line OR x.end_line = y.end_line)) OR x.end_line - x.start_line + 1 < 3 OR y.end_line - y.start_line + 1 < 3)),
+e AS (SELECT a, b FROM j UNION SELECT b, a FROM j),
+reach(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+avgs AS (SELECT root, avg(score) AS s FROM j JOIN roots ON node = a GROUP BY root)
+SELECT CAST(count(*) AS BIGINT) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members, round(any_value(s), 6) AS avg_score, '{duplicates.REASON}' AS reason
+FROM roots JOIN avgs USING (root) GROUP BY root""")
+def find_duplicates(spark, sf):
+    """The smallest doc_id stands for chunks of one content, as they are one point."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = chunk_rows(spark, sf).join(v, "doc_id")
+    first = found.groupBy("code_hash").agg(F.min("doc_id").alias("doc_id"))
+    found = found.join(first, ["code_hash", "doc_id"]).withColumn("point_id", F.col("doc_id"))
+    ids = F.array_sort(F.transform("chunks", lambda c: c["doc_id"]))
+    out = duplicates.find_duplicates(found, THRESHOLD)
+    return out.select(
+        F.size("chunks").cast("long").alias("size"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("members"), F.round("avg_score", 6).alias("avg_score"), "reason"
+    )
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, code_hash, CAST(('0x' || substr(sha256(code_hash), 1, 16))::UBIGINT AS VARCHAR) AS point_id, end_line - start_line + 1 AS lines FROM chunks")
 def content_identity(spark, sf):
     c = chunk_rows(spark, sf)
@@ -345,7 +368,7 @@ def payload_json(spark, sf):
 
 
 SOURCES = {
-    "go": ("m.go", "package main\n\nimport \"fmt\"\n\n// says hello\nfunc hello(a, b int) error {\n\tfmt.Println(a)\n\treturn nil\n}\n\nfunc (c *T) Mul(x ...string) (n int, err error) {\n\tc.run(x)\n\treturn len(x), nil\n}\n\nfunc short() {}\n"),
+    "go": ("m.go", "package main\n\nimport \"fmt\"\n\n// says hello\nfunc hello(a, b int) error {\n\tfmt.Println(a)\n\treturn nil\n}\n\nfunc (c *T) Mul(x ...string) (n int, err error) {\n\tc.run(x)\n\treturn len(x), nil\n}\n\nfunc short() {}\n\ntype H func(a int) error\n\nvar h = func(a int) int {\n\treturn a\n}\n\nvar m = map[string]func(int) int{\n\t\"a\": h,\n}\n\nfunc after[T any](f func(T) bool) {\n\tf(nil)\n}\n"),
     "python": ("p/mod.py", "import os as o, sys\nfrom a.b import c\n\ndef one(x, y: int = 2) -> int:\n    z = f(x)\n    return z\n\nclass K:\n    def two(self):\n        def inner():\n            pass\n            return 1\n        return inner()\n\nasync def no():\n    await x()\n    return\n"),
     "javascript": ("a.js", "import x from 'm';\nconst y = require('n');\n/** Doc */\nfunction one(a, b = 2) {\n  if (a) { run(b); }\n  return a;\n}\nconst two = async (c) => {\n  go(c);\n};\nclass A extends B {\n  three(d) {\n    return d;\n  }\n}\n"),
     "typescript": ("a.ts", "// adds\nexport function add(a: number, ...b: number[]): number {\n  return sum(a, b);\n}\ninterface I { f(): void }\nclass C {\n  private async get(k?: Map<string, number>): Promise<void> {\n    await k;\n  }\n}\n"),
@@ -371,6 +394,7 @@ def expected(rows: list[tuple]) -> str:
 @query(expected([
     ("hello", "function_declaration", 6, 9, "func hello(a int, b int) error", "int|int", "error", "fmt.Println", "fmt", "says hello", "main"),
     ("(*T).Mul", "method_declaration", 11, 14, "func (c *T) Mul(x ...string) (n int, err error)", "...string", "int|error", "c.run|len", "fmt", "", "main"),
+    ("after", "function_declaration", 28, 30, "func after(f func(T) bool)", "func(T) bool", "", "f", "fmt", "", "main"),
 ]))
 def go_chunks(spark, sf):
     return source_chunks(spark, "go")

@@ -194,6 +194,14 @@ def _doc(text: str, start: int) -> str:
     return "\n".join(reversed(run)).strip()
 
 
+def _declares(t: Tokens, text: str, i: int) -> bool:
+    """Whether the func at i begins a declaration: what is before it ends a statement, so it is no type or literal."""
+    if not i or t.text[i - 1] == ";":
+        return True
+    ends = t.text[i - 1] in (")", "]", "}") or t.kind[i - 1] == "string" or t.kind[i - 1] == "word" and t.text[i - 1] not in KEYWORDS or t.text[i - 1][0].isdigit()
+    return ends and "\n" in text[t.span[i - 1][1] : t.span[i][0]]
+
+
 def chunks(path: str, code: bytes) -> list[dict]:
     """A row for every function and method declaration of three lines or more."""
     text = code.decode("utf-8")
@@ -202,16 +210,14 @@ def chunks(path: str, code: bytes) -> list[dict]:
         raise ValueError("no package clause")
     package, known, rows, i = t.text[1], imports(t), [], 2
     while i < len(t.text):
-        if t.text[i] != "func":
+        if t.text[i] != "func" or not _declares(t, text, i):
             i = t.mate[i] + 1 if t.mate[i] > i else i + 1
             continue
         begin, j, receiver = i, i + 1, []
         if t.text[j] == "(":
             receiver, j = fields(t, j + 1, t.mate[j]), t.mate[j] + 1
         if j >= len(t.text) or t.kind[j] != "word":
-            # a function type or literal at the top level
-            i += 1
-            continue
+            raise ValueError("func: no name")
         name, j = t.text[j], j + 1
         if t.text[j] == "[":
             j = t.mate[j] + 1

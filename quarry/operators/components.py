@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star contraction.
 
 Only edge-sized tables are joined; each round is a written table, so lineage stays short and a lost executor costs one
-round at most. Minima are taken with partial aggregation, so a hub's neighbours never meet in one task.
+round at most. Minima are taken with partial aggregation and written before they are joined back, so that the join
+reads two plain exchanges and adaptive execution can split a hub's neighbours over tasks.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("low"))
-    low = low.select("u", F.least("low", "u").alias("low"))
+    low = staged(low.select("u", F.least("low", "u").alias("low")), "lows")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    low = staged(edges.groupBy("u").agg(F.min("v").alias("low")), "lows")
     moved = edges.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 

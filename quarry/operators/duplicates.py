@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,27 +61,30 @@ def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", vector: st
 
     def product(table: pa.Table) -> pa.Table:
         i, part = table.column("i")[0].as_py(), table.column("part").to_numpy()
-        keys = table.column("key").to_pylist()
+        keys = table.column("key").combine_chunks()
         lists = table.column("v").combine_chunks()
-        size = np.diff(np.asarray(lists.offsets))
-        out: list[tuple] = []
+        first = np.asarray(lists.offsets)[:-1]
+        size, flat = np.diff(np.asarray(lists.offsets)), lists.values.to_numpy(zero_copy_only=False)
+        same = table.column("j")[0].as_py() == i
+        found: list[tuple] = []
         for width in np.unique(size):
             if not width:
                 continue
             at = np.flatnonzero(size == width)
-            m = np.array([lists[k].as_py() for k in at.tolist()], dtype=np.float64)
+            m = flat[first[at][:, None] + np.arange(width)]
             norm = np.sqrt((m * m).sum(axis=1))
             at, m = at[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
             left, right = part[at] == i, part[at] != i
-            same = table.column("j")[0].as_py() == i
             a, b = (at, at) if same else (at[left], at[right])
             s = (m if same else m[left]) @ (m if same else m[right]).T
-            for x, y in zip(*np.nonzero(s >= threshold), strict=True):
-                p, q = keys[a[x]], keys[b[y]]
-                if not same or p < q:
-                    out.append((min(p, q), max(p, q), float(s[x, y])))
-        types = [table.schema.field("key").type] * 2 + [pa.float64()]
-        return pa.table({c: pa.array([o[k] for o in out], type=t) for k, (c, t) in enumerate(zip("abs", types, strict=True))})
+            x, y = np.nonzero(s >= threshold)
+            found.append((a[x], b[y], s[x, y]))
+        p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        out = pa.table({"a": keys.take(pa.array(p)), "b": keys.take(pa.array(q)), "s": pa.array(np.concatenate([f[2] for f in found]) if found else np.zeros(0))})
+        less = pc.less(out["a"], out["b"])
+        if same:
+            return out.filter(less)
+        return pa.table({"a": pc.if_else(less, out["a"], out["b"]), "b": pc.if_else(less, out["b"], out["a"]), "s": out["s"]})
 
     found = dealt.groupBy("i", "j").applyInArrow(product, f"a {kind.simpleString()}, b {kind.simpleString()}, s double")
     return found.where("a != b").select("a", "b", F.col("s").alias("score"))
@@ -94,14 +98,18 @@ def duplicate_groups(pairs: DataFrame, src: str = "a", dst: str = "b") -> DataFr
     return members.join(scores, "root").select("root", "members", F.size("members").cast("long").alias("size"), "avg_score")
 
 
-def find_duplicates(chunks: DataFrame, threshold: float, keep: Column | None = None) -> DataFrame:
-    """(root, chunks, avg_score, reason) over chunks with point_id, embedding and position; distinct contents only."""
+def find_duplicates(chunks: DataFrame, threshold: float, keep: Column | None = None, keep_pair: Column | None = None) -> DataFrame:
+    """(root, chunks, avg_score, reason) over chunks with point_id, embedding and position; distinct contents only.
+
+    keep filters chunks; keep_pair filters pairs, by the chunks' columns under a and b and by score.
+    """
     rows = chunks.where(keep) if keep is not None else chunks
     rows = rows.where(F.col("embedding").isNotNull()).dropDuplicates(["point_id"])
     rows = staged(rows, "candidates")
     found = similar_pairs(rows, threshold, "point_id").alias("p")
-    place = rows.select("point_id", "file_path", "start_line", "end_line")
+    place = rows.drop("embedding", "content") if keep_pair is not None else rows.select("point_id", "file_path", "start_line", "end_line")
     found = found.join(place.alias("a"), F.col("p.a") == F.col("a.point_id")).join(place.alias("b"), F.col("p.b") == F.col("b.point_id"))
+    found = found if keep_pair is None else found.where(keep_pair)
     found = staged(found.where(~trivial()).select("p.a", "p.b", "p.score"), "pairs")
     groups = duplicate_groups(found)
     flat = groups.select("root", "avg_score", F.explode("members").alias("point_id")).join(rows.drop("embedding"), "point_id")

@@ -9,7 +9,7 @@ from quarry.operators.search import SERVER_K
 from quarry.plans.index import Index
 
 TOOL = {
-    "name": "codebase-retrieval",
+    "name": "quarry-search",
     "description": "Finds the functions of a source tree that are most like a question, from many files first.",
     "inputSchema": {
         "type": "object",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -16,9 +18,11 @@ _local = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or one of our own where none is named."""
+    """The cluster's shared checkpoint folder; a session on one machine that names none gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints/quarry"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,10 +56,18 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that is released like a staged table."""
+    out = spark.sparkContext.broadcast(value)
+    for held in getattr(_local, "recording", ()):
+        held.append(out)
+    return out
+
+
 @contextmanager
-def recorded() -> Iterator[list[str]]:
-    """The paths of the tables that this thread stages meanwhile."""
-    paths: list[str] = []
+def recorded() -> Iterator[list[str | Broadcast]]:
+    """The paths of the tables that this thread stages meanwhile, and its broadcasts."""
+    paths: list[str | Broadcast] = []
     _local.recording = [*getattr(_local, "recording", ()), paths]
     try:
         yield paths
@@ -69,10 +81,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Remove staged tables whose readers have all been written."""
-    while paths:
-        _delete(spark, paths.pop())
+def release(spark: SparkSession, held: list[str | Broadcast]) -> None:
+    """Remove staged tables and broadcasts whose readers have all been written."""
+    while held:
+        one = held.pop()
+        if isinstance(one, Broadcast):
+            one.destroy()
+        else:
+            _delete(spark, one)
 
 
 def clear(spark: SparkSession) -> None:

@@ -43,6 +43,15 @@ def test_go_broken_file_is_an_error(code):
         golang.chunks("f.go", code)
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["type H func(a int) error", "type H func(a int) List[int]", "var h = func(a int) int {\n\n\n\treturn a\n}", "var m = map[string]func(int) int{\n\t\"a\": nil,\n}", "var (\n\tx = func() {}\n)", "var v map[string]func()", "type S struct {\n\tf func(int) int\n}", "var k =\n\tfunc(a int) int { return a }"],
+)
+def test_go_function_types_and_literals_are_no_declarations(before):
+    code = f"package p\n\n{before}\n\nfunc (r *T) G(x int) int {{\n\treturn x\n}}\n".encode()
+    assert names(golang.chunks("f.go", code)) == ["(*T).G"]
+
+
 def test_go_braces_in_text_and_literals():
     code = b'package p\nvar f = func() {\n\n\n}\nfunc G() {\n\ts := "}" + `{` + string(\'{\')\n\t// }\n\t_ = s\n}\n'
     assert names(golang.chunks("f.go", code)) == ["G"]

@@ -75,7 +75,7 @@ def test_rpc(spark, project, tmp_path):
     index = Index(spark, str(project), str(tmp_path / "store"))
     index.refresh()
     server = Server(index)
-    call = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "codebase-retrieval", "arguments": {"query": "alpha", "top_k": 1}}}
+    call = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "quarry-search", "arguments": {"query": "alpha", "top_k": 1}}}
     body = json.dumps(call).encode()
     source = io.BytesIO(b"Content-Length: %d\r\n\r\n%s" % (len(body), body) + b'\n{"id":2,"method":"nope"}\n{"method":"notifications/initialized"}\nbroken\n{"id":3,"method":"ping"}\n{"method":"exit"}\n')
     sink = io.BytesIO()
