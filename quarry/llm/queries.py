@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Batches of texts that fit beside a small executor's heap."""
+    """Batches of texts that fit beside a small executor's heap, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,7 +370,7 @@ def test_verdicts(spark):
 
 def test_lattice_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "ab", "b", "abc", "c"])}
-    tree = languages.prefix_tree(pieces)
+    tree = languages.Tree(pieces)
     rng = np.random.default_rng(3)
     logs = np.log(rng.dirichlet(np.ones(len(pieces) + 1), size=2).T)
 
@@ -380,9 +380,48 @@ def test_lattice_sums_all_segmentations():
         out = sum(np.exp(logs[pieces[word[:j]], k]) * total(word[j:], k) for j in range(1, len(word) + 1) if word[:j] in pieces)
         return out + (0 if word[0] in pieces else np.exp(logs[-1, k]) * total(word[1:], k))
 
-    samples = ["abcab", "a", "", "zab", "ccc"]
-    got = languages.Lattice(samples, tree).scores(logs)
-    assert np.allclose(got, [[np.log(total("▁" + w, k)) for k in range(2)] for w in samples])
+    samples = ["abcab", "a", "", "zab", "ccc", "𝒳ab"]
+    lattice = languages.Lattice(samples, tree)
+    assert np.allclose(lattice.scores(logs), [[np.log(total("▁" + w, k)) for k in range(2)] for w in samples])
+
+    # expected counts: every segmentation, weighed by its share of the word's probability
+    def cuts(word, k):
+        if not word:
+            return [(1.0, [])]
+        steps = [(j, pieces[word[:j]]) for j in range(1, len(word) + 1) if word[:j] in pieces] + ([] if word[0] in pieces else [(1, len(pieces))])
+        return [(np.exp(logs[p, k]) * q, [p, *rest]) for j, p in steps for q, rest in cuts(word[j:], k)]
+
+    times = rng.integers(0, 5, (len(samples), 2)).astype(float)
+    want = np.zeros((len(pieces) + 1, 2))
+    for n, w in enumerate(samples):
+        for k in range(2):
+            every = cuts("▁" + w, k)
+            for q, used in every:
+                for p in used:
+                    want[p, k] += times[n, k] * q / sum(x for x, _ in every)
+    assert np.allclose(lattice.expected(logs, times) / languages.UNIT, want, atol=1e-4)
+
+
+def test_language_sample_keeps_its_bound(spark):
+    rows = [(None, f"no id {i}", "en") for i in range(50)] + [(7, "same row", "en")] * 40 + [(i, f"text {i}", "de") for i in range(100)] + [(7, f"other {i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got, sizes = languages.sample(docs, 10)
+    found = [tuple(r) for r in got.collect()]
+    assert Counter(k for k, _ in found) == {"en": 10, "de": 10} and len(set(found)) == 20 and set(sizes) == {"en", "de"}
+    assert not any(t.startswith("no id") for _, t in found)
+    assert sorted(found) == sorted(tuple(r) for r in languages.sample(docs.repartition(5), 10)[0].collect())
+
+
+def test_lattice_rounds_equal_one_task(spark):
+    pieces = {p: i for i, p in enumerate(["▁", "a", "ab", "b", "ba"])}
+    table = [("abab", 3, 1), ("ba", 0, 2), ("b", 5, 0), ("x", 1, 1)]
+    words = spark.createDataFrame(table, "word string, n0 long, n1 long")
+    model = languages.fit(words.repartition(3), ["p", "q"], np.array([0.5, 0.5]), pieces, rounds=2)
+    logs = np.full((6, 2), -np.log(6))
+    for _ in range(2):
+        counts = languages.Lattice([r[0] for r in table], languages.Tree(pieces)).expected(logs, np.array([r[1:] for r in table], dtype=float)) / languages.UNIT + 0.05
+        logs = np.log(counts / counts.sum(axis=0))
+    assert np.allclose(model.logs, logs)
 
 
 def test_languages_on_held_out_rows(spark):
