@@ -44,7 +44,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(offsets: np.ndarray, length: int):
     """(row range, first byte, bytes, row offsets) of runs of rows; a long row comes in overlapping segments."""
-    for i, j in B.runs(offsets):
+    for i, j in B.runs(offsets, SEGMENT):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= 2 * SEGMENT:
             yield i, j, a, b, offsets[i : j + 1] - a

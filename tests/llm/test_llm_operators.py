@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import bytes as B
-from quarry.llm import digests, html_text, languages, mixing, near, ngram_model, packing, quality_model, quality_rules, repeats, shingles, sketch
+from quarry.llm import anchors, digests, html_text, languages, mixing, near, ngram_model, packing, quality_model, quality_rules, refinement, repeats, shingles, sketch
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,15 +109,59 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_equal_brute_force(spark, seed):
+def repeat_texts(seed):
     rng = random.Random(seed)
     pool = ["".join(rng.choice("abé \n") for _ in range(rng.randrange(20, 130))) for _ in range(12)]
     texts = [None, "", "ab" * 100, "a" * 70] + ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 5))) for _ in range(40)]
     texts += [t[: len(t) // 2] + "#" + t[len(t) // 2 :] for t in texts[4:16]]
-    want = brute_repeats(texts, 40)
-    got = {r["doc_id"]: r for r in repeats.repeat_sizes(frame(spark, texts), 40).collect()}
-    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
+    # a passage between texts of their own, and copies
+    hot = "".join(rng.choice("xyz") for _ in range(70))
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60)))
+    return texts + [own() + hot + own() for _ in range(60)] + texts[20:23] * 3
+
+
+def repeat_rows(spark, texts, length):
+    got = {r["doc_id"]: r for r in repeats.repeat_sizes(frame(spark, texts), length).collect()}
+    return [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 2000, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "TOGETHER", 500)
+    texts = repeat_texts(seed)
+    assert repeat_rows(spark, texts, 40) == brute_repeats(texts, 40)
+
+
+def test_refinement_equals_brute_force():
+    for seed in range(60):
+        rng = random.Random(seed)
+        length = rng.choice([1, 3, 8, 9, 16, 20, 40])
+        text = "".join(rng.choice("ab" if seed % 2 else "abcdef") for _ in range(rng.randrange(0, 300)))
+        raw = (text + text[: 100 * (seed % 3)]).encode()
+        places = range(max(len(raw) - length + 1, 0))
+        starts = sorted(rng.sample(places, rng.randrange(0, len(places) + 1)))
+        seen = Counter(raw[s : s + length] for s in starts)
+        got = refinement.repeated_windows(np.frombuffer(raw, dtype=np.uint8), np.array(starts, dtype=np.int64), length)
+        assert got.tolist() == [seen[raw[s : s + length]] > 1 for s in starts]
+
+
+def test_repeats_across_a_segment_of_a_long_text(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, 2_600_000).astype(np.uint8).tobytes().decode()
+    at = anchors.SEGMENT - 300
+    texts = [long, "<" + long[at : at + 900] + ">", long[5:2000] + "|"]
+    got = repeat_rows(spark, texts, 400)
+    keep = hashlib.sha256((long[:5] + long[2000:at] + long[at + 900 :]).encode()).hexdigest()
+    assert got[0] == (len(long), 900 + 1995, 2, keep) and got[1][1:3] == (900, 1) and got[2][1:3] == (1995, 1)
+
+
+def test_repeated_rows_and_null_ids_are_copies(spark):
+    text = "".join(random.Random(2).choice("abcdefgh") for _ in range(300))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text[:200]), (None, "short"), (None, "short"), (2, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in repeats.repeat_sizes(docs, 40).collect())
+    assert got == [(-1, 5, 0), (-1, 5, 0), (-1, 200, 200), (1, 300, 300), (1, 300, 300), (2, 0, 0)]
 
 
 def test_cut_texts_keep_whole_characters(spark):
