@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -64,6 +64,17 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return out
 
 
+def located(df: DataFrame, name: str) -> tuple[DataFrame, Column, Column]:
+    """A table read from Parquet files with df's rows, and each row's file and place in it, the same in every scan.
+
+    A table just as it was read is taken as it is; anything else is staged.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "parquet" not in df._jdf.queryExecution().analyzed().toString().lower():
+        df = staged(df, name)
+    meta = df.metadataColumn("_metadata")
+    return df, meta["file_path"], meta["row_index"]
+
+
 @contextmanager
 def recorded() -> Iterator[list[str | Broadcast]]:
     """The paths of the tables that this thread stages meanwhile, and its broadcasts."""
