@@ -3,11 +3,12 @@
 Main path: DataFrame functions only. Each source's documents are shuffled by a digest of their id and laid end to
 end; the run is cut into blocks of `block_tokens` words. Golden-ratio points, taken modulo 2**31 in exact integers,
 pass through the sources' cumulative weights and name a source for every slot. The k-th slot of a source takes its
-k-th block, starting over when the blocks are used up.
+k-th block, starting over when the blocks are used up. The slots are the order of the mix: `mix_sizes` tells each
+document's first slot, and `mix` gives its rows in that order, so that every stretch of it has the sources' shares.
 
 Defined results: a null text has size 0; a null source is a source of its own and sorts last; rows that repeat a
-doc_id are separate documents; sources without words have target 0; an empty table gives an empty mix. Extra
-columns are kept by `mix` and never read, whatever their names.
+doc_id are separate documents, and those without one are shuffled by their texts; sources without words have target 0;
+an empty table gives an empty mix. Extra columns are kept by `mix` and never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,26 +19,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.words import first_words, word_count
-from quarry.scratch import staged
+from quarry.scratch import located, staged
 
 #: Points lie in [0, 2**31); the multiplier is the odd integer next to 2**31 / golden ratio.
 MODULUS = 1 << 31
 GOLDEN = 1327217885
 CELLS = 1024
-#: Parts of a source's shuffled run, by the first three hex digits of the digest.
-PARTS = 4096
 #: Slots ranked together before the per-source offsets are added.
 CHUNK = 8192
 
 
 def sized(docs: DataFrame, rid: Column | None = None, seed: str = "mix") -> DataFrame:
-    """One row per document: rid, doc_id, source, size in words, digest that orders the shuffle."""
+    """One row per document: rid, doc_id, source, size in words, digest that orders the shuffle, text hash for ties."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))
     return docs.select(
         F.monotonically_increasing_id().alias("rid") if rid is None else rid.alias("rid"),
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("digest"),
+        F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("digest"),
+        F.xxhash64(text).alias("tie"),
     )
 
 
@@ -133,11 +135,11 @@ def placed(rows: DataFrame, per: DataFrame) -> DataFrame:
     Running sums go by (source, part of the digest range), then over the parts, so no source meets in one task.
     """
     rows = rows.where("size > 0").join(per.select("source", "sid"), rows["source"].eqNullSafe(per["source"]))
-    rows = rows.select("rid", "sid", "size", "digest", "doc_id", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int").alias("part"))
+    rows = rows.select("rid", "sid", "size", "digest", "doc_id", "tie", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int").alias("part"))
     sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sid", "part").orderBy("digest", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "part").orderBy("digest", "doc_id", "size", "tie", "rid").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(sums, ["sid", "part"]).select("rid", "sid", "size", (F.col("offset") + F.col("inside")).alias("start"))
 
@@ -145,7 +147,7 @@ def placed(rows: DataFrame, per: DataFrame) -> DataFrame:
 def mix_pieces(
     rows: DataFrame, goal: DataFrame, block_tokens: int = 1024
 ) -> DataFrame:
-    """The mix: slot, rid, pass, first (word of the document), words. Ordered by (slot, rid's start) it is the stream."""
+    """The mix: slot, at (word in the source's run), rid, pass, first (word of the document), words. In order of (slot, at) it is the stream."""
     per = staged(plan_sources(goal, block_tokens), "mix-plan")
     found = per.agg(F.max("all_slots")).first()[0]
     b = F.lit(block_tokens)
@@ -161,7 +163,7 @@ def mix_pieces(
     pieces = pieces.withColumn("from", F.greatest("start", F.col("block") * b)).withColumn("to", F.least(end, (F.col("block") + 1) * b))
     return (
         pieces.join(order, ["sid", "block"])
-        .select("slot", "rid", "pass", (F.col("from") - F.col("start")).alias("first"), (F.least("to", "upto") - F.col("from")).alias("words"))
+        .select("slot", F.col("from").alias("at"), "rid", "pass", (F.col("from") - F.col("start")).alias("first"), (F.least("to", "upto") - F.col("from")).alias("words"))
         .where("words > 0")
     )
 
@@ -171,31 +173,37 @@ def goals(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
 
 
 def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block_tokens: int = 1024) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
+    """Per document: doc_id, size, source_size, target, taken, first_slot (-1 where nothing is taken)."""
     rows = staged(sized(docs), "mix-rows")
     goal = goals(rows, weights, share, limit)
-    taken = mix_pieces(rows, goal, block_tokens).groupBy("rid").agg(F.sum("words").alias("taken"))
+    taken = mix_pieces(rows, goal, block_tokens).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     rows = rows.select("rid", "doc_id", "source", "size")
     out = rows.join(goal.select("source", "source_size", "target"), rows["source"].eqNullSafe(goal["source"])).join(taken, "rid", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block_tokens: int = 1024) -> DataFrame:
-    """The mixed documents, with the columns of docs.
+    """The mixed documents, with the columns of docs, in the order of their first slots.
 
     A document appears once for every pass that takes it. The one document of a source at which its target is
-    reached keeps its first words only; documents without words are kept as they are.
+    reached keeps its first words only; documents without words are kept as they are, dealt among the others. The
+    order goes over partitions as well: the slots are cut into as many equal ranges as there are shuffle partitions.
     """
     columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keyed = staged(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row")), "mix-docs")
-    named = keyed.select("rid", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")])
-    rows = staged(sized(named, F.col("rid")), "mix-rows")
+    docs, file, place = located(docs, "mix-docs")
+    rid = F.struct(F.xxhash64(file).alias("file"), place.alias("place"))
+    rows = staged(sized(docs.select("doc_id", "source", "text", rid.alias("rid")), F.col("rid")), "mix-rows")
     goal = goals(rows, weights, share, limit)
-    per_pass = mix_pieces(rows, goal, block_tokens).groupBy("rid", "pass").agg(F.sum("words").alias("words"))
-    takes = per_pass.unionByName(rows.where("size = 0").select("rid", F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("words")))
-    takes = takes.join(rows.select("rid", "size"), "rid").select("rid", "words", (F.col("words") < F.col("size")).alias("cut"))
-    out = keyed.join(takes, "rid")
+    per_pass = mix_pieces(rows, goal, block_tokens).groupBy("rid", "pass").agg(F.sum("words").alias("words"), F.min(F.struct("slot", "at")).alias("order"))
+    none = F.lit(0).cast("long")
+    empty = rows.where("size = 0").select("rid", none.alias("pass"), none.alias("words"), F.lit(None).cast(per_pass.schema["order"].dataType).alias("order"))
+    takes = per_pass.unionByName(empty).join(rows.select("rid", "size"), "rid")
+    takes = staged(takes.select("rid", "words", (F.col("words") < F.col("size")).alias("cut"), "order"), "mix-takes")
+    out = docs.select(rid.alias("rid"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).join(takes, "rid")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = takes.agg(F.max("order.slot")).first()[0]
+    part = F.floor(F.col("order.slot") * n / F.lit(int(slots or 0) + 1))
+    out = out.repartitionById(n, F.coalesce(part, F.pmod(F.xxhash64("rid"), F.lit(n))).cast("int")).sortWithinPartitions(F.col("order").asc_nulls_last(), "rid")
     cut = F.when(F.col("cut"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
 
     def column(c: str) -> Column:

@@ -1,8 +1,9 @@
 """Packing into length buckets whose bounds minimise padding, with token-budget batches in each bucket.
 
 Documents over `max_len` words become pieces of at most `max_len`. The histogram of piece lengths, at most `max_len`
-rows, goes to the driver, where dynamic programming picks the bucket bounds. Ranks inside a bucket are counted in
-parts and offset, so a bucket that holds most rows still spreads over the cluster.
+rows, goes to the driver, where dynamic programming picks the bucket bounds. Rows keep their order inside a bucket:
+that of the files they were read from, so that the batches of a mix follow its schedule. Ranks are counted file by
+file and offset, so a bucket that holds most rows still spreads over the cluster.
 
 Defined results: a document without words (null or empty text) is one row with n_words 0, bucket 0 and null batch;
 repeated rows are packed as often as they occur; an empty table gives no rows; extra columns are ignored.
@@ -10,15 +11,18 @@ repeated rows are packed as often as they occur; an empty table gives no rows; e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.words import word_count
-from quarry.scratch import staged
+from quarry.llm import bytes as B
+from quarry.scratch import located, staged
 
-#: Parts in which a bucket's rows are ranked.
-PARTS = 1024
+#: Parts of a file's rows in which a bucket's rows are ranked together, by their place.
+RANKED = 1 << 16
 
 
 def best_bounds(histogram: dict[int, int], n_buckets: int) -> list[int]:
@@ -52,25 +56,59 @@ def best_bounds(histogram: dict[int, int], n_buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, max_len: int = 2048, n_buckets: int = 16, batch_tokens: int = 65536) -> DataFrame:
-    """Per piece: doc_id, piece, first (word), n_words, bucket (padded length), batch, slot in the batch.
+def _piecer(max_len: int, texts: bool):
+    """Pieces of documents: file, place, doc_id, piece, first, n_words, and with texts the piece's text.
+
+    A piece's text ends where the next piece's first word begins, so the pieces of a document make up its text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = B.values(batch.column("text"))
+            for i, j in B.runs(offsets):
+                part = buf[offsets[i] : offsets[j]]
+                at_byte = offsets[i : j + 1] - offsets[i]
+                start, _, at = B.words(part, at_byte)
+                n = np.diff(at)
+                count = np.maximum(-(-n // max_len), 1)
+                own = np.repeat(np.arange(j - i), count)
+                piece = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                first = piece * max_len
+                columns = [batch.column(c).slice(i, j - i).take(pa.array(own)) for c in ("file", "place", "doc_id")]
+                columns += [pa.array(piece), pa.array(first), pa.array(np.minimum(n[own] - first, max_len))]
+                names = ["file", "place", "doc_id", "piece", "first", "n_words"]
+                if texts:
+                    begin = at_byte[own]
+                    later = np.flatnonzero(piece)
+                    begin[later] = start[at[own[later]] + first[later]]
+                    ends = np.append(begin[1:], at_byte[-1])
+                    raw = part.tobytes()
+                    columns.append(pa.array([raw[a:b].decode() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], type=pa.string()))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def pack(docs: DataFrame, max_len: int = 2048, n_buckets: int = 16, batch_tokens: int = 65536, texts: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, first (word), n_words, bucket (padded length), batch, slot in the batch; texts: text too.
 
-    A batch holds batch_tokens // bucket rows of its bucket; batches number on across buckets of the same length.
+    A batch holds batch_tokens // bucket rows of its bucket; batches are numbered in each bucket.
     """
-    sizes = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", word_count(F.col("text")).alias("n"))
-    last = F.greatest(F.ceil(F.col("n") / F.lit(max_len)) - 1, F.lit(0)).cast("long")
-    pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    pieces = pieces.withColumn("first", F.col("piece") * max_len).withColumn("n_words", F.least(F.col("n") - F.col("first"), F.lit(max_len)).cast("long"))
-    pieces = staged(pieces.select("rid", "doc_id", "piece", "first", "n_words"), "pack-pieces")
-    histogram = {int(r[0]): int(r[1]) for r in pieces.where("n_words > 0").groupBy("n_words").count().collect()}
+    docs, file, place = located(docs, "pack-docs")
+    scan = docs.select(file.alias("file"), place.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = "file string, place long, doc_id long, piece long, first long, n_words long"
+    sizes = staged(scan.mapInArrow(_piecer(max_len, False), kind).select("file", "place", "n_words"), "pack-sizes")
+    histogram = {int(r[0]): int(r[1]) for r in sizes.where("n_words > 0").groupBy("n_words").count().collect()}
     bounds = best_bounds(histogram, n_buckets)
-    bucket = F.coalesce(*[F.when(F.col("n_words") <= b, F.lit(b)) for b in [0, *bounds]]).cast("long")
-    pieces = pieces.withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64("rid", "piece"), F.lit(PARTS)))
-    sums = pieces.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("rid", "piece")) - 1
-    ranked = pieces.withColumn("r", rank).join(sums, ["bucket", "part"]).withColumn("r", F.col("r") + F.col("offset"))
+    bucket = F.coalesce(*[F.when(F.col("n_words") <= b, F.lit(b)) for b in [0, *bounds]]).cast("long").alias("bucket")
+    part = F.floor(F.col("place") / RANKED).alias("part")
+    sums = sizes.select(bucket, "file", part).groupBy("bucket", "file", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("bucket").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = staged(sums.select("bucket", "file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "pack-offsets")
+    pieces = scan.mapInArrow(_piecer(max_len, texts), kind + ", text string" * texts).select("*", bucket, part)
+    rank = F.row_number().over(Window.partitionBy("bucket", "file", "part").orderBy("place", "piece")) - 1
+    ranked = pieces.withColumn("r", rank).join(sums, ["bucket", "file", "part"]).withColumn("r", F.col("r") + F.col("offset"))
     rows = F.greatest(F.floor(F.lit(batch_tokens) / F.col("bucket")), F.lit(1)).cast("long")
     full = F.col("bucket") > 0
     return ranked.select(
@@ -81,4 +119,5 @@ def pack(docs: DataFrame, max_len: int = 2048, n_buckets: int = 16, batch_tokens
         "bucket",
         F.when(full, F.floor(F.col("r") / rows)).cast("long").alias("batch"),
         F.when(full, F.col("r") % rows).cast("long").alias("slot"),
+        *(["text"] if texts else []),
     )

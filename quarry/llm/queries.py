@@ -49,6 +49,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
@@ -78,7 +79,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 OP1 = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS digest FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
@@ -92,14 +93,36 @@ goal AS (
   SELECT source, source_size, round(CASE WHEN level >= cap / weight THEN cap
          ELSE least(cap, weight * max(CASE WHEN level >= cap / weight THEN NULL ELSE level END) OVER ()) END, 6) AS target
   FROM levels),
+plan AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take, (source_size + 1023) // 1024 AS blocks, take // source_size AS passes,
+         passes * blocks + (take - passes * source_size + 1023) // 1024 AS slots FROM goal WHERE floor(target + 0.5) > 0),
+upto AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, CAST(sum(slots) OVER () AS BIGINT) AS all_slots,
+         CAST(sum(slots) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS u FROM plan),
+ivals AS (
+  SELECT *, CAST(floor(CAST(u - slots AS DOUBLE) / all_slots * 2147483648.0) AS BIGINT) AS lo, CAST(floor(CAST(u AS DOUBLE) / all_slots * 2147483648.0) AS BIGINT) AS hi FROM upto),
+points AS (SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range((SELECT coalesce(max(all_slots), 0) FROM ivals))) AS slot)),
+named AS (
+  SELECT p.slot, i.sid, i.slots, row_number() OVER (PARTITION BY i.sid ORDER BY p.slot) - 1 AS k, i.all_slots
+  FROM points p JOIN ivals i ON p.point >= i.lo AND p.point < i.hi),
+got AS (SELECT i.sid, i.slots, i.all_slots, count(n.k) AS n FROM ivals i LEFT JOIN named n ON n.sid = i.sid GROUP BY i.sid, i.slots, i.all_slots),
+closing AS (SELECT all_slots + unnest(range(slots - n)) AS slot, sid, n + unnest(range(slots - n)) AS k FROM got WHERE n < slots),
+dealt AS (SELECT slot, sid, k FROM named WHERE k < slots UNION ALL SELECT slot, sid, k FROM closing),
+ordered AS (
+  SELECT d.slot, d.sid, least(d.k // i.blocks, i.passes) AS pass, d.k - pass * i.blocks AS block,
+         least((block + 1) * 1024, i.source_size, i.take - pass * i.source_size) AS upto
+  FROM dealt d JOIN ivals i ON i.sid = d.sid),
 laid AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS take,
+  SELECT s.doc_id, s.size, g.source_size, g.target, i.sid, row_number() OVER () AS rid,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (take // source_size)
-            + greatest(0, least(size, take % source_size - start)) END AS BIGINT) AS taken
-FROM laid
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN ivals i ON s.source IS NOT DISTINCT FROM i.source),
+spread AS (SELECT *, unnest(range(CAST(start // 1024 AS BIGINT), CAST((start + size - 1) // 1024 + 1 AS BIGINT))) AS block FROM laid WHERE size > 0),
+pieces AS (
+  SELECT p.rid, o.slot, least(p.start + p.size, o.upto) - greatest(p.start, p.block * 1024) AS words
+  FROM spread p JOIN ordered o ON o.sid = p.sid AND o.block = p.block),
+taken AS (SELECT rid, sum(words) AS taken, min(slot) AS first_slot FROM pieces WHERE words > 0 GROUP BY rid)
+SELECT l.doc_id, l.size, l.source_size, l.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken, CAST(coalesce(t.first_slot, -1) AS BIGINT) AS first_slot
+FROM laid l LEFT JOIN taken t ON t.rid = l.rid
 """
 
 

@@ -82,6 +82,34 @@ def test_schedule_is_even(spark):
         assert abs(seen[1] - upto * 100 / 155) < 4 and abs(seen[2] - upto * 50 / 155) < 4
 
 
+def drift(rows, sources):
+    """The most that any source's share of the words so far is off its share of all words, in words."""
+    total = Counter()
+    for source, n in rows:
+        total[source] += n
+    everything, so_far, seen, worst = sum(total.values()), 0, Counter(), 0.0
+    for source, n in rows:
+        seen[source] += n
+        so_far += n
+        worst = max(worst, *(abs(seen[k] - so_far * total[k] / everything) for k in sources))
+    return worst
+
+
+@pytest.mark.parametrize("golden", [mixing.GOLDEN, 1])
+def test_order_of_the_mix_is_even(spark, monkeypatch, golden):
+    monkeypatch.setattr(mixing, "GOLDEN", golden)
+    sources = ["a", "b", "c"]
+    docs = frame(spark, corpus(400), source=[sources[i % 7 % 3] for i in range(400)])
+    rows = [(r["source"], len(words(r["text"]))) for r in mixing.mix(docs, block_tokens=64).select("source", "text").collect()]
+    off = drift(rows, sources)
+    # a poor sequence of points shows in the output: sources come one after another
+    assert off < 1000 if golden > 1 else off > 4000
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.mix_sizes(docs, block_tokens=64).collect()}
+    got = [r["doc_id"] for r in mixing.mix(docs, block_tokens=64).collect()]
+    seen = dict.fromkeys(d for d in got if first[d] >= 0)
+    assert [first[d] for d in seen] == sorted(first[d] for d in seen)
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     docs = frame(spark, corpus(60), source=["ab"[i % 2] for i in range(60)])
     sizes = {r["doc_id"]: r["taken"] for r in mixing.mix_sizes(docs).collect()}
@@ -363,6 +391,23 @@ def test_batches_fit(spark):
     assert len({(r["bucket"], r["batch"], r["slot"]) for r in rows if r["n_words"]}) == sum(places.values())
 
 
+def test_packed_pieces_make_up_the_texts(spark, tmp_path):
+    texts = [*corpus(80), " lead " + "w\n é " * 300 + " \t", "", None, "twice here", "twice here"]
+    frame(spark, texts).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = packing.pack(docs, max_len=64, n_buckets=4, batch_tokens=512, texts=True).collect()
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        whole[r["doc_id"]] = whole.get(r["doc_id"], "") + r["text"]
+        assert len(words(r["text"])) == r["n_words"]
+    assert whole == {i: t or "" for i, t in enumerate(texts)}
+    # batches follow the order of the files
+    order = {r["doc_id"]: k for k, r in enumerate(docs.select("doc_id", docs.metadataColumn("_metadata")["file_path"].alias("f"), docs.metadataColumn("_metadata")["row_index"].alias("i")).orderBy("f", "i").collect())}
+    for bucket in {r["bucket"] for r in rows} - {0}:
+        own = [order[r["doc_id"]] for r in sorted((r for r in rows if r["bucket"] == bucket), key=lambda r: (r["batch"], r["slot"]))]
+        assert own == sorted(own)
+
+
 # 8: quality rules
 
 
