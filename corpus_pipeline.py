@@ -4,11 +4,15 @@ language   documents whose language cannot be told go
 near       one document of each near-duplicate group stays (five-word shingles, similarity 0.8)
 repeats    strings of 200 bytes and more that occur twice are cut, everywhere
 mix        sources are mixed to their target weights; a document appears once for every pass that takes it
-pack       whole texts go into length buckets and token-budget batches
+pack       whole texts, in pieces, go into length buckets and token-budget batches; a row holds its piece's text
 
 Each stage reads all that the one before kept, and first removes the tables that the one before staged: write a
 stage's result before the next stage is called, as run() does. No stage has SQL: the first three are not
 SQL-expressible, and what follows depends on them.
+
+Defined results: a null or empty text has no language and goes with the first stage; a null doc_id, lang or source is
+kept; repeated rows are near-duplicates of one another; ties keep the smallest doc_id; an empty table gives no rows;
+extra columns stay as they are up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,7 +71,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    arrow_batches(spark)
+    return packing.pack(docs, texts=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
