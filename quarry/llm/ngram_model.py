@@ -7,8 +7,13 @@ scored with the counts of the others; final scores use the counts of all trainin
 
 Texts are gathered into blocks of `block_bytes` of one kind (counted, held back, only scored). A block sends its
 distinct n-grams, sorted, to the owners of their hash ranges, gets their corpus-wide counts back in the same order,
-and scores its texts with them. So an n-gram travels once per block, however frequent, no task holds more than a
-block or a hash range, and no count table is broadcast. With larger executors, raise block_bytes with the corpus.
+and scores its texts with them, `STRETCH` tokens at a time. So an n-gram travels once per block, however frequent, and
+no count table is broadcast. The number of ranges follows the corpus, one for `range_bytes` of text, so that no task
+holds more than a block or a range. Messages are as many as blocks times ranges; they stay above a kilobyte up to some
+hundred GB of text at the default sizes, and beyond that block_bytes should grow with the executors.
+
+A word is a 64-bit hash; a bigram has BIGRAM_BITS bits, so that about n / 2**48 of n different bigrams share a count
+with another one.
 
 Defined results: a null text is empty and scores as its end token; without training documents every token is unknown;
 repeated rows are separate documents, counted as often as they occur; a null doc_id counts as training; an empty table
@@ -32,6 +37,8 @@ MAIN, DEV, HELD = 0, 1, 2
 END = np.uint64(0x8F1BBCDCBFA53E0B)
 #: Hash bits of a bigram; a unigram keeps all 64.
 BIGRAM_BITS = 48
+#: Tokens that are scored together.
+STRETCH = 1 << 18
 #: Steps of a binary logarithm into which probabilities are rounded for the weights' histogram.
 STEPS = 4
 _CODEC = "zstd"
@@ -117,10 +124,15 @@ def _blocker(block_bytes: int, parts: int):
         buf = np.frombuffer(b"".join(block.texts), dtype=np.uint8)
         sizes = np.concatenate(block.sizes).astype(np.int64)
         tokens, pairs, _ = stream(buf, np.concatenate([[0], np.cumsum(sizes)]))
-        ids = [x for own in block.ids for x in own.to_pylist()]
-        yield _rows({"block": [number], "cls": [cls], "part": [None], "ids": [ids], "n": [len(tokens)], "blob": [_squeezed(buf, sizes.astype(np.int64))], "kind": [0]})
+        n_tokens = len(tokens)
+        ids = pa.concat_arrays(block.ids).to_pylist()
+        block.__init__()
+        yield _rows({"block": [number], "cls": [cls], "part": [None], "ids": [ids], "n": [n_tokens], "blob": [_squeezed(buf, sizes.astype(np.int64))], "kind": [0]})
+        del buf
         one, one_n = np.unique(tokens, return_counts=True)
+        del tokens
         two, two_n = np.unique(pairs, return_counts=True)
+        del pairs
         a, b = _cuts(one, 64, parts), _cuts(two, BIGRAM_BITS, parts)
         blobs = [_squeezed(_gaps(one[a[k] : a[k + 1]]), one_n[a[k] : a[k + 1]].astype(np.uint32), _gaps(two[b[k] : b[k + 1]]), two_n[b[k] : b[k + 1]].astype(np.uint32)) for k in range(parts)]
         yield _rows({"block": [number] * parts, "cls": [cls] * parts, "part": list(range(parts)), "ids": [None] * parts, "n": [None] * parts, "blob": blobs, "kind": [1] * parts})
@@ -141,7 +153,6 @@ def _blocker(block_bytes: int, parts: int):
                     if block.bytes >= block_bytes:
                         yield from flush(block, number, cls)
                         number += 1
-                        block.__init__()
         for cls, block in open_blocks.items():
             if block.ids:
                 yield from flush(block, number, cls)
@@ -181,20 +192,36 @@ def _totals(table: pa.Table) -> pa.Table:
     )
 
 
-def _counted(text: pa.Table, answers: pa.Table, whole: bool) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets, and every token's count, context's count and bigram's count; whole: with held-back documents."""
-    buf, sizes = _spread(text.column("blob")[0].as_py())
-    tokens, pairs, at = stream(buf, np.concatenate([[0], np.cumsum(sizes)]))
+def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where keys are in the sorted known ones."""
+    own, inverse = np.unique(keys, return_inverse=True)
+    return np.searchsorted(known, own)[inverse]
+
+
+def _counted(text: pa.Table, answers: pa.Table, whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of whole rows: (first row, row ends, and every token's count, context's count and bigram's count).
+
+    whole: with the counts of held-back documents.
+    """
     order = np.argsort(answers.column("part").to_numpy())
-    blobs = answers.column("blob").to_pylist()
-    parts = [_spread(blobs[k]) for k in order]
+    blobs = answers.column("blob")
+    parts = [_spread(blobs[int(k)].as_py()) for k in order]
     pick = lambda k: np.concatenate([p[k].astype(np.int64) for p in parts])
     one, two = (pick(k) + (pick(k + 1) if whole else 0) for k in (0, 2))
-    c1 = one[np.unique(tokens, return_inverse=True)[1]]
-    c2 = two[np.unique(pairs, return_inverse=True)[1]]
-    end = c1[at[1] - 1] if len(at) > 1 else 0
-    before = np.concatenate([[end], c1[:-1]])
-    return text.column("ids")[0].as_py(), at, c1, before, c2
+    del parts
+    buf, sizes = _spread(text.column("blob")[0].as_py())
+    tokens, pairs, at = stream(buf, np.concatenate([[0], np.cumsum(sizes)]))
+    del buf
+    types, pair_types = np.unique(tokens), np.unique(pairs)
+    end = one[np.searchsorted(types, END)]
+    i, rows = 0, len(at) - 1
+    while i < rows:
+        j = min(max(int(np.searchsorted(at, at[i] + STRETCH, side="right")) - 1, i + 1), rows)
+        c1 = one[_places(tokens[at[i] : at[j]], types)]
+        c2 = two[_places(pairs[at[i] : at[j]], pair_types)]
+        # the token before a row's first is an end
+        yield i, at[i + 1 : j + 1] - at[i], c1, np.concatenate([[end], c1[:-1]]), c2
+        i = j
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -217,10 +244,13 @@ def _eventer(n_main: int):
     def run(text: pa.Table, answers: pa.Table) -> pa.Table:
         if not text.num_rows:
             return pa.table({"event": pa.array([], type=pa.int64()), "n": pa.array([], type=pa.int64())})
-        _, _, c1, before, c2 = _counted(text, answers, whole=False)
-        p2, p1 = _estimates(c1, before, c2, n_main)
-        event, n = np.unique(bucket(before) << 40 | _rounded(p2) << 20 | _rounded(p1), return_counts=True)
-        return pa.table({"event": pa.array(event), "n": pa.array(n.astype(np.int64))})
+        total: dict[int, int] = {}
+        for _, _, c1, before, c2 in _counted(text, answers, whole=False):
+            p2, p1 = _estimates(c1, before, c2, n_main)
+            event, n = np.unique(bucket(before) << 40 | _rounded(p2) << 20 | _rounded(p1), return_counts=True)
+            for e, k in zip(event.tolist(), n.tolist(), strict=True):
+                total[e] = total.get(e, 0) + k
+        return pa.table({"event": pa.array(list(total), type=pa.int64()), "n": pa.array(list(total.values()), type=pa.int64())})
 
     return run
 
@@ -255,14 +285,17 @@ def _scorer(weights: np.ndarray, n_train: int, types: int):
         names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         if not text.num_rows:
             return pa.table({c: pa.array([], type=k) for c, k in names.items()})
-        ids, at, c1, before, c2 = _counted(text, answers, whole=True)
-        p2, p1 = _estimates(c1, before, c2, n_train)
-        w = weights[bucket(before)]
-        p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (types + 1) + w[:, 3] * (c1 == 0)
-        base = np.log10((c1 + 0.5) / (n_train + 0.5 * (types + 1)))
-        sums = lambda x: np.add.reduceat(x, at[:-1])
-        columns = [ids, np.diff(at), sums((c1 > 0).astype(np.int64)), sums(base), sums(np.log10(p))]
-        return pa.table({c: pa.array(x, type=k) for (c, k), x in zip(names.items(), columns, strict=True)})
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for _, ends, c1, before, c2 in _counted(text, answers, whole=True):
+            p2, p1 = _estimates(c1, before, c2, n_train)
+            at = bucket(before)
+            p = weights[at, 0] * p2 + weights[at, 1] * p1 + weights[at, 2] / (types + 1) + weights[at, 3] * (c1 == 0)
+            base = np.log10((c1 + 0.5) / (n_train + 0.5 * (types + 1)))
+            first = np.concatenate([[0], ends[:-1]])
+            for own, x in zip(found, (ends - first, *(np.add.reduceat(x, first) for x in ((c1 > 0).astype(np.int64), base, np.log10(p)))), strict=True):
+                own.append(x)
+        ids = text.column("ids").combine_chunks().values
+        return pa.table([ids, *[pa.array(np.concatenate(x)) for x in found]], names=list(names))
 
     return run
 
@@ -271,14 +304,14 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 1, F.lit(False))
 
 
-def scored(docs: DataFrame, block_bytes: int = 24 << 20, held_back: int = 20, parts: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, block_bytes: int = 24 << 20, held_back: int = 20, range_bytes: int = 24 << 20) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    One training document in held_back learns the weights. parts: hash ranges, the shuffle partitions by default.
+    One training document in held_back learns the weights. range_bytes: bytes of text for each hash range.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.col("doc_id").cast("long")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0]
+    parts = max(1, -(-int(size or 0) // range_bytes))
     back = F.pmod(F.xxhash64(doc_id, F.lit("held back")), F.lit(held_back)) == 0
     scan = docs.select(
         doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.when(held_out(F.col("doc_id")), HELD).when(back, DEV).otherwise(MAIN).cast("int").alias("cls")

@@ -222,6 +222,56 @@ def test_base_scores_and_held_out_gain(spark):
     assert sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    texts = [*corpus(150, seed=8), None, "", "Same here", "same HERE"]
+    docs = frame(spark, texts)
+    rows = {r["doc_id"]: r for r in ngram_model.scored(docs, block_bytes=3000, held_back=4, range_bytes=9000).collect()}
+    back = {r[0] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'held back'), 4) b").where("b = 0").collect()}
+    tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
+    train = [i for i in tokens if not rows[i]["held_out"]]
+
+    def counts(ids):
+        one = Counter(w for i in ids for w in tokens[i])
+        return one, Counter(p for i in ids for p in zip([None, *tokens[i]], tokens[i], strict=False)), sum(one.values())
+
+    def estimates(i, one, two, n):
+        for a, b in zip([None, *tokens[i]], tokens[i], strict=False):
+            yield one[a], one[b], min(two[a, b] / max(one[a], 1), 1.0), one[b] / n
+
+    main = counts([i for i in train if i not in back])
+    events = Counter()
+    for i in train:
+        if i in back:
+            for c, _, p2, p1 in estimates(i, *main):
+                b, q2, q1 = ngram_model.bucket(np.array([c]))[0], *ngram_model._rounded(np.array([p2, p1]))
+                events[int(b) << 40 | int(q2) << 20 | int(q1)] += 1
+    w = ngram_model.learn_weights(np.array(sorted(events)), np.array([float(events[e]) for e in sorted(events)]), len(main[0]))
+    every = counts(train)
+    for i in tokens:
+        want = 0.0
+        for c, own, p2, p1 in estimates(i, *every):
+            x = w[ngram_model.bucket(np.array([c]))[0]]
+            want += np.log10(x[0] * p2 + x[1] * p1 + x[2] / (len(every[0]) + 1) + x[3] * (own == 0))
+        assert rows[i]["score"] == pytest.approx(want, abs=1e-6), i
+
+
+def test_weights_climb_to_a_fixed_point():
+    rng = np.random.default_rng(5)
+    events = np.unique(np.array([int(b) << 40 | int(x) << 20 | int(y) for b, x, y in rng.integers(0, 30, (200, 3)) % [4, 30, 30]], dtype=np.int64))
+    n = rng.integers(1, 50, len(events)).astype(float)
+    value = lambda q: 2.0 ** (-(q - 1) / ngram_model.STEPS) if q else 0.0
+    w = ngram_model.learn_weights(events, n, 50, rounds=400)
+    lean = ngram_model.learn_weights(events, n, 50, rounds=400)[63]
+    # one more plain step of expectation-maximisation, bucket by bucket, changes nothing
+    for b in range(4):
+        total = 5.0 * lean
+        for e, k in zip(events.tolist(), n, strict=True):
+            if e >> 40 == b:
+                p = np.array([value(e >> 20 & 0xFFFFF), value(e & 0xFFFFF), 1 / 51, float(e & 0xFFFFF == 0)])
+                total = total + k * w[b] * p / (w[b] * p).sum()
+        assert np.allclose(total / total.sum(), w[b], atol=1e-4)
+
+
 def test_weights_are_shares():
     events = np.array([3 << 40 | 5 << 20 | 9, 3 << 40 | 0 << 20 | 0, 1 << 40 | 0 << 20 | 7], dtype=np.int64)
     w = ngram_model.learn_weights(events, np.array([10.0, 2.0, 4.0]), 100)
