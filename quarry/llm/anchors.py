@@ -12,7 +12,7 @@ from quarry.llm import bytes as B
 
 _POS = np.uint64((1 << 22) - 1)
 #: Rows longer than this are handled in overlapping segments.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
