@@ -129,9 +129,9 @@ def _blocker(block_bytes: int, parts: int):
         block.__init__()
         yield _rows({"block": [number], "cls": [cls], "part": [None], "ids": [ids], "n": [n_tokens], "blob": [_squeezed(buf, sizes.astype(np.int64))], "kind": [0]})
         del buf
-        one, one_n = np.unique(tokens, return_counts=True)
+        one, one_n = _distinct(tokens)
         del tokens
-        two, two_n = np.unique(pairs, return_counts=True)
+        two, two_n = _distinct(pairs)
         del pairs
         a, b = _cuts(one, 64, parts), _cuts(two, BIGRAM_BITS, parts)
         blobs = [_squeezed(_gaps(one[a[k] : a[k + 1]]), one_n[a[k] : a[k + 1]].astype(np.uint32), _gaps(two[b[k] : b[k + 1]]), two_n[b[k] : b[k + 1]].astype(np.uint32)) for k in range(parts)]
@@ -192,10 +192,22 @@ def _totals(table: pa.Table) -> pa.Table:
     )
 
 
-def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Where keys are in the sorted known ones."""
-    own, inverse = np.unique(keys, return_inverse=True)
-    return np.searchsorted(known, own)[inverse]
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), dtype=bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of keys, all of them among the sorted known ones."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([np.ones(min(len(keys), 1), dtype=bool), ordered[1:] != ordered[:-1]])
+    found = values[np.searchsorted(known, ordered[new])]
+    out = np.empty(len(keys), dtype=values.dtype)
+    out[order] = found[np.cumsum(new) - 1]
+    return out
 
 
 def _counted(text: pa.Table, answers: pa.Table, whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -212,13 +224,13 @@ def _counted(text: pa.Table, answers: pa.Table, whole: bool) -> Iterator[tuple[i
     buf, sizes = _spread(text.column("blob")[0].as_py())
     tokens, pairs, at = stream(buf, np.concatenate([[0], np.cumsum(sizes)]))
     del buf
-    types, pair_types = np.unique(tokens), np.unique(pairs)
+    types, pair_types = _distinct(tokens)[0], _distinct(pairs)[0]
     end = one[np.searchsorted(types, END)]
     i, rows = 0, len(at) - 1
     while i < rows:
         j = min(max(int(np.searchsorted(at, at[i] + STRETCH, side="right")) - 1, i + 1), rows)
-        c1 = one[_places(tokens[at[i] : at[j]], types)]
-        c2 = two[_places(pairs[at[i] : at[j]], pair_types)]
+        c1 = _looked_up(tokens[at[i] : at[j]], types, one)
+        c2 = _looked_up(pairs[at[i] : at[j]], pair_types, two)
         # the token before a row's first is an end
         yield i, at[i + 1 : j + 1] - at[i], c1, np.concatenate([[end], c1[:-1]]), c2
         i = j
