@@ -316,7 +316,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 1, F.lit(False))
 
 
-def scored(docs: DataFrame, block_bytes: int = 24 << 20, held_back: int = 20, range_bytes: int = 24 << 20) -> DataFrame:
+def scored(docs: DataFrame, block_bytes: int = 16 << 20, held_back: int = 20, range_bytes: int = 24 << 20) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     One training document in held_back learns the weights. range_bytes: bytes of text for each hash range.
