@@ -78,21 +78,27 @@ def _sums(gaps: np.ndarray) -> np.ndarray:
 
 def stream(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens with every row's end, bigram keys, n + 1 offsets of the rows among the tokens)."""
-    n = len(offsets) - 1
-    words, at = [], [0]
-    for i, j in B.runs(offsets):
+    parts, at = [], [np.zeros(1, dtype=np.int64)]
+    done = 0
+    for i, j in B.runs(offsets, STRETCH):
         part = buf[offsets[i] : offsets[j]]
         start, end, own = B.words(part, offsets[i : j + 1] - offsets[i])
-        words.append(B.word_hashes(part, start, end))
-        at.extend((own[1:] + at[i]).tolist())
-    at = np.array(at, dtype=np.int64) + np.arange(n + 1)
-    tokens = np.full(at[-1], END, dtype=np.uint64)
-    inner = np.ones(at[-1], dtype=bool)
-    inner[at[1:] - 1] = False
-    tokens[inner] = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    before = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
-    pairs = B.pair(before, tokens, 71) >> np.uint64(64 - BIGRAM_BITS)
-    return tokens, pairs, at
+        ends = own[1:] + np.arange(1, j - i + 1)
+        tokens = np.full(ends[-1], END, dtype=np.uint64)
+        inner = np.ones(ends[-1], dtype=bool)
+        inner[ends - 1] = False
+        tokens[inner] = B.word_hashes(part, start, end)
+        parts.append(tokens)
+        at.append(ends + done)
+        done += int(ends[-1])
+    tokens = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    del parts
+    pairs = np.empty_like(tokens)
+    for i in range(0, len(tokens), STRETCH):
+        own = tokens[i : i + STRETCH]
+        before = np.concatenate([tokens[i - 1 : i] if i else [END], own[:-1]]).astype(np.uint64)
+        pairs[i : i + STRETCH] = B.pair(before, own, 71) >> np.uint64(64 - BIGRAM_BITS)
+    return tokens, pairs, np.concatenate(at)
 
 
 def _cuts(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
@@ -316,7 +322,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 1, F.lit(False))
 
 
-def scored(docs: DataFrame, block_bytes: int = 16 << 20, held_back: int = 20, range_bytes: int = 24 << 20) -> DataFrame:
+def scored(docs: DataFrame, block_bytes: int = 10 << 20, held_back: int = 20, range_bytes: int = 12 << 20) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     One training document in held_back learns the weights. range_bytes: bytes of text for each hash range.
