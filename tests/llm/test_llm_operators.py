@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import bytes as B
-from quarry.llm import anchors, digests, html_text, languages, mixing, near, ngram_model, packing, quality_model, quality_rules, refinement, repeats, shingles, sketch
+from quarry.llm import anchors, digests, html_text, labelled_pages, languages, mixing, near, ngram_model, packing, quality_model, quality_rules, refinement, repeats, shingles, sketch
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -396,17 +396,56 @@ def test_boilerplate_hides_no_article(page, text):
     assert html_text.main_text(page) == text
 
 
-def test_labelled_pages_give_their_regions_back():
-    for page in html_text.PAGES:
-        inside = page[page.index("<!--+-->") : page.index("<!---->")]
-        want = set(re.findall(r"\w+", re.sub(r"<[^>]*>", " ", inside)))
-        assert set(re.findall(r"\w+", html_text.main_text(page))) == want
+@pytest.mark.parametrize(
+    "wrap",
+    ["<div class='content no-sidebar'>%s</div>", "<div class='post has-sidebar'>%s</div>", "<div id='page-with-banner'>%s</div>", "<div class='search-results'>%s</div>", "<form>%s</form>", "<div class='article-content'>%s</div>"],
+)
+def test_names_of_wrappers_do_not_hide_their_story(wrap):
+    story = "<h1>the title here</h1><p>some words that go on for a while and end here</p><div class='sidebar'><p>side words</p></div><p>the last words of it</p>"
+    page = "<body><nav><a href='/'>home</a></nav>" + wrap % story + "<div class='footer'>the owner</div></body>"
+    assert html_text.main_text(page) == "the title here\nsome words that go on for a while and end here\nthe last words of it"
+
+
+def test_story_beside_a_teaser():
+    page = "<body><div><h1>the title</h1><p>" + "long story words " * 20 + "</p></div><article class='card'><p>read this too</p></article></body>"
+    assert html_text.main_text(page).startswith("the title\nlong story words")
+
+
+def labelled_words(page):
+    inside = "".join(re.findall(r"<!--\+-->(.*?)<!---->", page, re.S))
+    return re.findall(r"\w+", re.sub(r"<[^>]*>", " ", inside))
+
+
+def test_other_labelled_pages_give_their_regions_back():
+    fresh = labelled_pages.pages(200, seed=99)
+    right = sum(re.findall(r"\w+", html_text.main_text(p)) == labelled_words(p) for p in fresh)
+    assert right >= 0.9 * len(fresh)
+
+
+def test_weights_decide():
+    fresh = labelled_pages.pages(30, seed=98)
+    learned = html_text.learned()
+    plain = [html_text.main_text(p) for p in fresh]
+    assert plain != [html_text.main_text(p, {html_text.BIAS: html_text.UNIT}) for p in fresh]
+    assert all(not html_text.main_text(p, {html_text.BIAS: -1}) for p in fresh)
+    # without the learned costs of tags the run takes in what they part
+    assert all(v < 0 for k, v in learned.items() if k.startswith("cost "))
+    listed = "<p>long words of a story that go on</p>" + "<br>" * 400 + "<p>stray</p>"
+    assert "stray" not in html_text.main_text(listed) and "stray" in html_text.main_text(listed, learned | {"cost br": 0})
+
+
+def test_deep_nesting_and_long_pages_are_read_in_one_pass():
+    deep = "<main><div class='x'><p>" * 20000 + "words of it" + "</div></main>" * 20000
+    assert html_text.main_text(deep) == "words of it"
+    long = "<article>" + "<p>some words here</p>" * 50000 + "</article>"
+    assert html_text.main_text(long).count("\n") == 49999
 
 
 def test_pages_table(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>a b c</p>", "x"), (2, None, None, None), (None, "v", "", "y")], "page_id long, url string, html string, text string")
-    got = {r["url"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
-    assert got == {"u": ("a b c", 5), None: ("", 0), "v": ("", 0)}
+    rows = [(1, "u", "<p>a b c</p>", "x"), (1, "u", "<p>a b c</p>", "x"), (2, None, None, None), (None, "v", "", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(map(tuple, html_text.extract(pages).fillna({"page_id": -1, "url": ""}).collect()))
+    assert got == [(-1, "v", "", 0), (1, "u", "a b c", 5), (1, "u", "a b c", 5), (2, "", "", 0)]
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
