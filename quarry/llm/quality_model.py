@@ -2,10 +2,12 @@
 
 Indicators of hashed n-grams (words, word pairs, and the shapes of words and pairs) are scaled by the log-count
 ratios of the two classes; a linear hinge-loss model is fitted by dual coordinate descent, and its margins are mapped
-to probabilities on held-back rows. Only the fit reads labels, from at most `max_rows` labelled rows, those with the
-smallest id hashes; scoring reads whole texts and nothing else.
+to probabilities on held-back rows. Only the fit reads labels, from at most `max_rows` labelled documents, those with
+the smallest id hashes, and as many of these, in that order, as have `max_features` features together; no text is cut.
+Scoring reads whole texts and nothing else.
 
-Defined results: a null or empty text scores by the intercept alone; labels are taken once per doc_id (the largest);
+Defined results: a null or empty text scores by the intercept alone; labels are taken once per doc_id (the largest),
+and so are the texts that are learned from (the one with the smallest hash); rows without a doc_id are only scored;
 repeated rows score alike; without rows of both labels every score is the share of label 1, or 0.5 without labels; an
 empty table gives no rows; extra columns are ignored.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bytes as B
+from quarry.scratch import shared, staged
 
 BITS = 20
 
@@ -92,7 +95,7 @@ def _fit_part(rows: list[np.ndarray], y: np.ndarray, cost: float, epochs: int) -
     for x, label in zip(rows, y, strict=True):
         counts[label][x] += 1.0
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [_scaled(x, ratio) for x in rows]
+    values = [_scaled(x, ratio).astype(np.float32) for x in rows]
     share = np.bincount(y, minlength=2) / len(y)
     costs = cost * 0.5 / share[y]
     w, bias = fit_hinge(rows, values, np.where(y == 1, 1.0, -1.0), costs, epochs)
@@ -140,7 +143,8 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offsets = B.values(batch.column("text"))
         for i, j in B.runs(offsets):
             rows = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column("quality").slice(i, j - i), pa.array([x.tobytes() for x in rows], type=pa.binary())], names=["quality", "features"])
+            own = [batch.column(c).slice(i, j - i) for c in ("id", "quality")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in rows], type=pa.binary())], names=["id", "quality", "features"])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -148,29 +152,41 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def learned(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Model:
-    """The model of at most max_rows labelled documents outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_features: int) -> pa.Table:
+    """(quality, features) of the labelled documents outside the held-out fold that the fit reads."""
     wanted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     wanted = wanted.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
-    wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # max_rows bounds the broadcast side
-    rows = texts.join(F.broadcast(wanted), "id").select("id", "quality", "text")
-    got = rows.select("quality", "text").mapInArrow(_featurer, "quality int, features binary").toPandas()
-    found = [np.frombuffer(b, dtype=np.uint32) for b in got["features"]]
-    order = sorted(range(len(found)), key=lambda k: (len(found[k]), got["features"].iloc[k]))
-    return fit([found[k] for k in order], got["quality"].to_numpy()[order])
+    wanted = staged(wanted.orderBy(F.xxhash64("id"), "id").limit(max_rows), "quality-ids")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # max_rows bounds the broadcast side; copies of an id meet as one row of each task
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).join(F.broadcast(wanted), "id")
+    rows = rows.groupBy("id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    kind = "id long, quality int, features binary"
+    got = staged(rows.mapInArrow(_featurer, kind).select(F.xxhash64("id").alias("h"), "*", (F.length("features") / 4).cast("long").alias("n")), "quality-rows")
+    sizes = got.select("h", "id", "n").orderBy("h", "id").toArrow()
+    taken = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), max_features, side="right"))
+    if taken < sizes.num_rows:
+        last = sizes.slice(taken, 1).to_pylist()[0]
+        got = got.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("id") < last["id"]))
+    return got.select("quality", "features").toArrow()
+
+
+def learned(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, max_features: int = 12_000_000) -> Model:
+    """The model of at most max_rows labelled documents, with max_features features together, outside the held-out fold."""
+    got = sample(docs, labels, max_rows, max_features)
+    found = sorted(zip(got.column("features").to_pylist(), got.column("quality").to_pylist(), strict=True), key=lambda r: (len(r[0]), r[0], r[1]))
+    return fit([np.frombuffer(b, dtype=np.uint32) for b, _ in found], np.array([y for _, y in found], dtype=np.int64))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     # two arrays of 2**BITS numbers each
-    shared = spark.sparkContext.broadcast((model.ratio.astype(np.float32), model.weight.astype(np.float32)))
+    sent = shared(spark, (model.ratio.astype(np.float32), model.weight.astype(np.float32)))
     bias, slope, shift = model.bias, model.slope, model.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, weight = shared.value
+        ratio, weight = sent.value
         for batch in batches:
             buf, offsets = B.values(batch.column("text"))
             for i, j in B.runs(offsets):
