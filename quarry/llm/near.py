@@ -23,18 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bytes as B
-from quarry.llm.filters import marked
+from quarry.llm.filters import bitmap_bytes, marked, passing, slots
 from quarry.llm.shingles import shingle_sets
 from quarry.llm.sketch import band_keys, sketches
 from quarry.operators.components import components
-from quarry.scratch import staged
+from quarry.scratch import shared, staged
 
 #: Buckets of at most so many members are paired in full.
 SMALL = 32
 #: Sets checked against as many others in one go.
 BLOCK = 128
-#: Bits of the filter that tells which texts may be wanted again.
-FILTER_BITS = 1 << 24
 
 
 def set_hashes(items: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,24 +63,12 @@ def _sketcher(width: int, coords: int, rows: int):
     return run
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set where slots has a number."""
-    at = F.col("slot") + 1
-    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        bits = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-        out[(r["part"] - 1) * 4096 :][: len(bits)] = bits
-    return out
-
-
-def _setter(width: int, passing):
-    """Sets of the texts whose slot is set."""
+def _setter(width: int, wanted, bits: int):
+    """Sets of the texts whose key may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array(passing.value[slot >> 3] >> (slot & 7) & 1 == 1))
+            batch = batch.filter(pa.array(passing(wanted.value, batch.column("hash").to_numpy(), bits)))
             buf, offsets = B.values(batch.column("text"))
             for i, j in B.runs(offsets):
                 items, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
@@ -128,22 +114,24 @@ def near_classes(
     )
     classes = staged(classes.select("h1", "h2", "node", "first_id", "n", "of.bands", "of.key"), "near-classes")
     members = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    hits = staged(members.join(shared, "band").select("band", "node", "n", "c"), "near-hits")
+    # small sides are written before they are joined, so that adaptive execution can split a hot key of the large side
+    full = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-bands")
+    hits = staged(members.join(full, "band").select("band", "node", "n", "c"), "near-hits")
     central = hits.groupBy("node").agg(F.sum("c").alias("reach"))
-    ranked = hits.join(central, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("reach", -F.col("node"))).alias("pivot"))
-    star = hits.select("band", "node", "n").join(ranked.select("band", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("na")), "band")
+    pivots = hits.join(central, "node").groupBy("band").agg(F.max(F.struct("reach", (-F.col("node")).alias("first"), "n")).alias("p"))
+    pivots = staged(pivots.select("band", (-F.col("p.first")).alias("a"), F.col("p.n").alias("na")), "near-pivots")
+    star = hits.select("band", "node", "n").join(pivots, "band")
     star = star.where("node != a").where(_in_size("na", "n", threshold)).groupBy("node", "a").agg(F.count(F.lit(1)).alias("bands"))
     star = star.groupBy("node").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
     star = staged(star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
 
     wanted = hits.select("node").distinct().join(classes.select("node", "h1", "h2", "key"), "node")
     wanted = staged(wanted, "near-wanted")
-    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    # the filter's size is fixed; a text that passes by chance finds no partner in the join
-    passing = spark.sparkContext.broadcast(_bitmap(wanted.select(slot.alias("slot"))))
-    texts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text")).select(slot.alias("slot"), "text")
-    sets = texts.mapInArrow(_setter(width, passing), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
+    # a text that passes by chance finds no partner in the join; slots() bounds the filter
+    bits = slots(wanted.count())
+    sent = shared(spark, bitmap_bytes(wanted.select(F.xxhash64("key").alias("hash")), "hash", bits))
+    texts = docs.select(F.xxhash64(F.col(key).cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
+    sets = texts.mapInArrow(_setter(width, sent, bits), "h1 long, h2 long, items array<long>").join(wanted.select("h1", "h2", "node"), ["h1", "h2"])
     sets = staged(sets.dropDuplicates(["node"]), "near-sets")
 
     links = staged(_verified(star, sets, threshold), "near-links")
@@ -166,7 +154,8 @@ def _named(hits: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _open_buckets(hits: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that hold members of several components."""
-    return _named(hits, labels).groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
+    found = _named(hits, labels).groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
+    return staged(found, "near-open-bands")
 
 
 def _small_pairs(hits: DataFrame, threshold: int) -> DataFrame:
@@ -182,7 +171,7 @@ def _block_links(hits: DataFrame, labels: DataFrame, sets: DataFrame, threshold:
     Both sides are dealt into blocks of whole sets; in a block, a member gives one link to each other component.
     """
     counts = hits.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main")).select("band", F.col("main.component").alias("main"))
+    main = staged(counts.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main")).select("band", F.col("main.component").alias("main")), "near-main")
     others = hits.join(main, "band").where("component != main").select("main", "node", "component").distinct()
     others = staged(others, "near-others")
     labelled = labels.select("node", F.col("component").alias("main"))
@@ -191,7 +180,7 @@ def _block_links(hits: DataFrame, labels: DataFrame, sets: DataFrame, threshold:
     inside = labelled.join(others.select("main").distinct(), "main", "left_semi").select("node", "main").unionByName(alone)
     every = inside.withColumn("component", F.col("main")).unionByName(others.select("node", "main", "component"))
     blocks = lambda df, name: df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
-    sizes = blocks(every, "xs").join(blocks(others, "ys"), "main")
+    sizes = staged(blocks(every, "xs").join(blocks(others, "ys"), "main"), "near-blocks")
     part = lambda df, salt, n: df.withColumn("part", F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int"))
     x = part(every.join(sizes, "main"), "x", "xs").select("node", "main", "component", F.col("part").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(False).alias("asks"))
     y = part(others.join(sizes, "main"), "y", "ys").select("node", "main", "component", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.col("part").alias("yb"), F.lit(True).alias("asks"))
@@ -232,8 +221,11 @@ def _block_checker(threshold: int):
 def near_groups(docs: DataFrame, key: str = "doc_id", width: int = 2, threshold: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (doc_id is the component's smallest)."""
     rows, classes = near_classes(docs, key, width, threshold)
-    out = rows.join(classes, ["h1", "h2"], "left")
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    # rows without shingles have one key, and are in no class
+    none = rows.where("n_shingles = 0").withColumn("component_id", F.col("id"))
+    some = rows.where("n_shingles > 0").join(staged(classes, "near-ids"), ["h1", "h2"])
+    out = some.select("id", "n_shingles", "component_id").unionByName(none.select("id", "n_shingles", "component_id"))
+    group = F.col("component_id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", group.alias("component_id"), group.eqNullSafe(F.col("id")).alias("kept"))
 
 
@@ -246,10 +238,11 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
     digest = F.md5(F.concat(F.coalesce(doc_id, F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))))
     rows, classes = near_classes(docs.select("doc_id", "text", digest.alias("key")), "key", width, threshold)
-    grouped = rows.where("n_shingles > 0").join(classes, ["h1", "h2"]).select("component", "rid", "id", "key")
+    grouped = rows.where("n_shingles > 0").join(staged(classes, "near-ids"), ["h1", "h2"]).select("component", "rid", "id", "key")
     grouped = staged(grouped, "near-grouped")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     first = grouped.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = staged(first, "near-first")
     # a group's rows with the first one's digest are the same document again
     found = grouped.join(first.select("component", F.col("first.rid").alias("first")), "component")
     fate = found.groupBy("key").agg(F.max(F.col("rid") == F.col("first")).alias("once"), F.count(F.lit(1)).alias("n")).where("not once or n > 1").select("key", "once")

@@ -384,6 +384,40 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, small, block):
     assert near.keep_one(frame(spark, texts), 2).count() == sum(find(i) == i for i in range(len(texts)))
 
 
+def test_no_near_pair_is_missed(spark):
+    """Recall against all rows, for ids divisible by 50 and all their partners."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r["doc_id"]: shingle_set(r["text"], 2) for r in rows}
+    owners = {}
+    for i, own in sets.items():
+        for x in own:
+            owners.setdefault(x, []).append(i)
+    group = {r["doc_id"]: r["component_id"] for r in near.near_groups(docs).collect()}
+    links = 0
+    for i in sets:
+        if i % 50:
+            continue
+        shared = Counter(j for x in sets[i] for j in owners[x] if j != i)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                links += 1
+                assert group[i] == group[j]
+    assert links
+
+
+def test_one_huge_group(spark):
+    """A group of exact copies, near copies and blank texts that are most of the rows."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    near_copies = [" ".join([*base[:90], *(f"x{rng.randrange(10**6)}" for _ in range(4)), *base[94:]]) for _ in range(150)]
+    texts = [" ".join(base)] * 200 + near_copies + [" \t"] * 100 + corpus(40, seed=12)
+    rows = {r["doc_id"]: r for r in near.near_groups(frame(spark, texts)).collect()}
+    assert {rows[i]["component_id"] for i in range(350)} == {0} and all(rows[i]["component_id"] == i for i in range(350, 450))
+    kept = [r["doc_id"] for r in near.keep_one(frame(spark, texts), 2).collect()]
+    assert len(kept) == len(set(kept)) == sum(r["kept"] for r in rows.values())
+
+
 # 6: pages
 
 
