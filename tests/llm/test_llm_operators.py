@@ -776,15 +776,66 @@ SAME_COLUMNS = {"mix", "without_repeats", "keep_one", "accepted"}
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_tables(spark, odd_docs, no_docs, name):
     out = OPERATORS[name](odd_docs)
-    n = len(out.collect())
+    rows, docs = out.collect(), odd_docs.collect()
+    size = lambda t: len(words(t))
     if name in SAME_COLUMNS:
-        assert out.columns == odd_docs.columns and n
-    elif name not in ("pack", "mix_sizes"):
-        assert n == odd_docs.count()
+        assert out.columns == odd_docs.columns
+        # what is kept is as it was, but for texts that are cut
+        whole = Counter((*r[:1], *r[2:4], *r[5:]) for r in docs)
+        times = Counter((*r[:1], *r[2:4], *r[5:]) for r in rows)
+        assert rows and set(times) <= set(whole) and all(n <= whole[k] * (3 if name == "mix" else 1) for k, n in times.items())
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    elif name == "pack":
+        total = Counter()
+        for r in rows:
+            total[r["doc_id"]] += r["n_words"]
+        want = Counter()
+        for r in docs:
+            want[r["doc_id"]] += size(r["text"])
+        assert total == want and Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in docs)
+    else:
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs)
+    if name == "mix_sizes":
+        assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r["doc_id"], size(r["text"])) for r in docs) and all(r["taken"] <= 2 * r["size"] for r in rows)
+    if name == "ngram":
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((r["doc_id"], size(r["text"]) + 1) for r in docs)
+    if name == "repeat_sizes":
+        assert Counter((r["doc_id"], r["n_bytes"]) for r in rows) == Counter((r["doc_id"], len((r["text"] or "").encode())) for r in docs)
+        assert all(r["n_removed"] > 15000 for r in rows if r["doc_id"] in (6, 7)) and all(r["n_removed"] == 0 for r in rows if r["n_bytes"] < 400)
+    if name == "judged":
+        assert Counter((r["doc_id"], r["n_words"]) for r in rows) == Counter((r["doc_id"], size(r["text"])) for r in docs)
+    if name == "near_groups":
+        group = {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None}
+        assert group[4] == 3 and group[7] == 6 and group[0] == 0 and group[1] == 1 and group[2] == 2
+    if name == "languages":
+        lettered = lambda t: any(map(str.isalpha, t or ""))
+        assert Counter((r["doc_id"], r["lang_pred"] == "und") for r in rows) == Counter((r["doc_id"], not lettered(r["text"])) for r in docs)
     empty = OPERATORS[name](no_docs)
     assert empty.count() == 0 and empty.columns == out.columns
 
 
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_pipeline_stages_on_odd_tables(spark, odd_docs, no_docs, tmp_path, kind):
+    import corpus_pipeline
+
+    docs = odd_docs if kind == "odd" else no_docs
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert k == 4 or docs.columns == columns
+        assert bool(docs.count()) == (kind == "odd")
+        if name == "pack":
+            packed = Counter()
+            for r in docs.collect():
+                packed[r["doc_id"]] += len(words(r["text"]))
+            want = Counter()
+            for r in before.collect():
+                want[r["doc_id"]] += len(words(r["text"]))
+            assert packed == want
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
@@ -796,5 +847,19 @@ def test_pipeline_stages(spark, small):
     linked = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     assert not any(linked(a, b) for a in ids for b in ids if a < b)
     assert all(any(linked(a, b) for b in sets if b != a) for a in set(sets) - set(ids))
+    # the stages of the other kinds, each against its operator's brute-force rule
+    texts = [r["text"] for r in docs.collect()]
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, docs, small).collect()}
+    width = corpus_pipeline.REPEAT_BYTES
+    seen = Counter(hash(b[p : p + width]) for b in ((t or "").encode() for t in texts) for p in range(len(b) - width + 1))
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - width + 1):
+            if seen[hash(raw[p : p + width])] > 1:
+                gone[p : p + width] = b"\1" * width
+        rest = bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+        got = cut.get(r["doc_id"])
+        assert not words(rest) if got is None else abs(len(got) - len(rest)) <= 2 * sum(1 for i in range(1, len(gone)) if gone[i] != gone[i - 1])
     rows = corpus_pipeline.run(spark, small)
-    assert rows.count() > 0 and "batch" in rows.columns
+    assert rows.count() > 0 and {"batch", "text"} <= set(rows.columns)
