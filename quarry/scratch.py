@@ -40,8 +40,8 @@ def nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back; codec is one of Parquet's compressions.
 
     The copy outlives lost executors, and each consumer prunes its columns. The folder goes with clear().
     """
@@ -50,7 +50,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.parquet(path, compression=codec)
     for paths in getattr(_local, "recording", ()):
         paths.append(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
