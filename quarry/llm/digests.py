@@ -162,7 +162,7 @@ def edits(docs: DataFrame) -> DataFrame:
     scan = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = scan.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     kinds = "edge int, pid int, text string, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    found = staged(dealt.mapInArrow(_in_order, kinds), "digest-rows")
+    found = staged(dealt.mapInArrow(_in_order, kinds), "digest-rows", codec="zstd")
     order = Window.orderBy("pid")
     heads = found.where("edge = 1").select("pid")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
