@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from quarry.chunkers import chunked
 from quarry.functions import paths, text
-from quarry.functions.vectors import cosine, raw_similarity
 from quarry.operators import duplicates, search, snapshots
 from quarry.streaming.refresh import bursts
 
@@ -57,69 +56,26 @@ CHUNKS = """chunks AS (SELECT doc_id, source || '/' || doc_id AS file_path, sour
   CAST(1 + length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS end_line, text AS content, sha256(text) AS code_hash FROM documents)"""
 
 
-def query_vector(spark: SparkSession, sf: str) -> list[float]:
-    return list(table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0])
-
-
 def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return chunk_rows(spark, sf).join(vectors, "doc_id")
 
 
-SCORED = f"""WITH {CHUNKS}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
-s AS (SELECT c.*, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id, q)"""
-
-
-@query(f"""{SCORED}, hits AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 30),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY score DESC, doc_id) AS rn FROM hits)
-SELECT doc_id, file_key, score FROM r ORDER BY rn > 1, score DESC, doc_id LIMIT {K}""")
-def diverse_topk(spark, sf):
-    hits = search.topk(vector_chunks(spark, sf), query_vector(spark, sf), search.overfetch(K), ["doc_id"])
-    return search.diverse(hits, K, "file_key", ["doc_id"]).select("doc_id", "file_key", "score")
-
-
-@query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT {K}""")
-def topk_plain(spark, sf):
-    return search.topk(table(spark, sf, "embeddings"), query_vector(spark, sf), K, ["vec_id"]).select("vec_id", "score")
-
-
-@query(f"""{SCORED}, hits AS (SELECT * FROM s ORDER BY score DESC, file_path, start_line LIMIT 30),
-live AS (SELECT h.* FROM hits h WHERE h.language <> 'fr'),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, start_line) AS rn FROM live)
-SELECT CASE WHEN file_path LIKE 'src1/%' THEN substr(file_path, 6) ELSE file_path END AS file_path, start_line, end_line, content, score
-FROM r ORDER BY rn > 1, score DESC, file_path, start_line LIMIT {K}""")
-def semantic_search(spark, sf):
-    chunks = vector_chunks(spark, sf)
-    live = chunk_rows(spark, sf).where("language <> 'fr'")
-    return search.search(chunks, query_vector(spark, sf), K, live, "src1")
-
-
-@query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 2) AS w, q.v FROM embeddings, q)
-SELECT vec_id, round(list_cosine_similarity(w, v), 6) AS cosine,
-  round(list_dot_product(w, v) / (list_dot_product(w, w) * list_dot_product(v, v)), 6) AS raw FROM e""")
-def vector_similarity(spark, sf):
-    e = table(spark, sf, "embeddings")
-    doubled = F.transform("embedding", lambda x: x.cast("double") * 2)
-    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
-    return e.select("vec_id", F.round(cosine(doubled, q), 6).alias("cosine"), F.round(raw_similarity(doubled, q), 6).alias("raw"))
-
-
 def query_block(spark: SparkSession, sf: str) -> DataFrame:
-    """The queries of a block search: every row whose id is divisible by 50."""
+    """The queries of the searches: every row whose id is divisible by 50."""
     return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 ASKED = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)"
-SCORED_BLOCK = f"""WITH {CHUNKS}, {ASKED},
+SCORED = f"""WITH {CHUNKS}, {ASKED},
 s AS (SELECT c.*, q.query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id, q)"""
 
 
-@query(f"""{SCORED_BLOCK}, hits AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30),
+@query(f"""{SCORED}, hits AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_key ORDER BY score DESC, doc_id) AS rn FROM hits),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rn > 1, score DESC, doc_id) AS INTEGER) AS place FROM r)
 SELECT query_id, place, doc_id, file_key, score FROM p WHERE place <= {K}""")
-def diverse_topk_block(spark, sf):
+def diverse_topk(spark, sf):
     chunks = vector_chunks(spark, sf).select("doc_id", "file_key", "embedding")
     hits = search.topk_block(chunks, query_block(spark, sf), search.overfetch(K), ["doc_id"])
     return search.diverse_block(hits, K, "file_key", ["doc_id"]).select("query_id", "place", "doc_id", "file_key", "score")
@@ -128,15 +84,15 @@ def diverse_topk_block(spark, sf):
 @query(f"""WITH {ASKED}, s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS place FROM s)
 SELECT query_id, place, vec_id, score FROM p WHERE place <= {K}""")
-def topk_plain_block(spark, sf):
+def topk_plain(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return search.topk_block(rows, query_block(spark, sf), K, ["vec_id"]).select("query_id", "place", "vec_id", "score")
 
 
-@query(f"""{SCORED_BLOCK}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, start_line) AS rn FROM s WHERE language <> 'fr'),
+@query(f"""{SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, start_line) AS rn FROM s WHERE language <> 'fr'),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rn > 1, score DESC, file_path, start_line) AS INTEGER) AS place FROM r)
 SELECT query_id, place, CASE WHEN file_path LIKE 'src1/%' THEN substr(file_path, 6) ELSE file_path END AS file_path, start_line, end_line, content, score FROM p WHERE place <= {K}""")
-def semantic_search_block(spark, sf):
+def semantic_search(spark, sf):
     live = vector_chunks(spark, sf).where("language <> 'fr'").select("doc_id", "file_path", "start_line", "embedding")
     hits = search.spread_block(live, query_block(spark, sf), K, "file_path", ["file_path", "start_line"])
     # the texts meet the hits only
@@ -147,10 +103,10 @@ def semantic_search_block(spark, sf):
 @query(f"""WITH {ASKED}, e AS (SELECT query_id, vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 2) AS w, q.v FROM embeddings, q)
 SELECT query_id, vec_id, round(list_cosine_similarity(w, v), 6) AS cosine,
   round(list_dot_product(w, v) / (list_dot_product(w, w) * list_dot_product(v, v)), 6) AS raw FROM e""")
-def vector_similarity_block(spark, sf):
+def vector_similarity(spark, sf):
     doubled = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 2).alias("w"))
-    both, q = doubled.crossJoin(query_block(spark, sf)), F.col("query_vector")
-    return both.select("query_id", "vec_id", F.round(cosine(F.col("w"), q), 6).alias("cosine"), F.round(raw_similarity(F.col("w"), q), 6).alias("raw"))
+    found = search.similarities_block(doubled, query_block(spark, sf), "vec_id", "w")
+    return found.select("query_id", F.col("row_id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), F.round("raw", 6).alias("raw"))
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, language, end_line - start_line + 1 AS lines FROM chunks WHERE language IN ('de', 'fr') AND end_line - start_line + 1 BETWEEN 3 AND 12")

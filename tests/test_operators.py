@@ -107,6 +107,18 @@ def test_block_search_equals_single_queries(spark, k):
     assert shown(top) == want_top and shown(wide) == want_wide
 
 
+def test_similarities_in_blocks_equal_expressions(spark):
+    vectors = [[3.0, 4.0], [0.0, 0.0], [1.0], None, [-1.0, 2.0], [], [2.0, 0.5]]
+    chunks = spark.createDataFrame(list(enumerate(vectors)) + [(0, [3.0, 4.0])], "id long, embedding array<double>")
+    queries = chunks.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")).where("id <> 4")
+    got = search.similarities_block(chunks, queries, "id", rows=3, asked=2)
+    both = chunks.crossJoin(queries)
+    want = both.select("query_id", "id", cosine(F.col("embedding"), F.col("query_vector")), raw_similarity(F.col("embedding"), F.col("query_vector")))
+    shown = lambda df: sorted((r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in df.collect())
+    assert shown(got) == shown(want) and got.count() == 8 * 7
+    assert search.similarities_block(chunks.limit(0), queries, "id").count() == search.similarities_block(chunks, queries.limit(0), "id").count() == 0
+
+
 def test_search_finds_live_hits_behind_gone_and_hot_files(spark):
     gone = [(f"gone{i}", 1, 2, "g", [1.0, 0.0]) for i in range(40)] + [(None, 1, 2, "n", [1.0, 0.0])] * 40
     hot = [("hot", i, i, "h", [1.0, 0.1]) for i in range(40)]
