@@ -106,7 +106,7 @@ SELECT query_id, vec_id, round(list_cosine_similarity(w, v), 6) AS cosine,
 def vector_similarity(spark, sf):
     doubled = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 2).alias("w"))
     found = search.similarities_block(doubled, query_block(spark, sf), "vec_id", "w")
-    return found.select("query_id", F.col("row_id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), F.round("raw", 6).alias("raw"))
+    return found.select("query_id", F.col("row_id").alias("vec_id"), "cosine", "raw")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, language, end_line - start_line + 1 AS lines FROM chunks WHERE language IN ('de', 'fr') AND end_line - start_line + 1 BETWEEN 3 AND 12")

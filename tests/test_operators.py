@@ -114,7 +114,7 @@ def test_similarities_in_blocks_equal_expressions(spark):
     got = search.similarities_block(chunks, queries, "id", rows=3, asked=2)
     both = chunks.crossJoin(queries)
     want = both.select("query_id", "id", cosine(F.col("embedding"), F.col("query_vector")), raw_similarity(F.col("embedding"), F.col("query_vector")))
-    shown = lambda df: sorted((r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in df.collect())
+    shown = lambda df: sorted((r[0], r[1], round(r[2], 6), round(r[3], 6)) for r in df.collect())
     assert shown(got) == shown(want) and got.count() == 8 * 7
     assert search.similarities_block(chunks.limit(0), queries, "id").count() == search.similarities_block(chunks, queries.limit(0), "id").count() == 0
 
