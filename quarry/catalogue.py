@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.chunkers import chunked
 from quarry.functions import paths, text
 from quarry.operators import duplicates, search, snapshots
-from quarry.streaming.refresh import bursts
+from quarry.streaming.refresh import bursts, relevant
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,6 +323,46 @@ def payload_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("size"))
 
 
+@query("SELECT event_id, 'k' AS name, props->>'$.k' AS value FROM events")
+def payload_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.explode(text.payload(F.col("props"))).alias("name", "value"))
+
+
+OPS = {"click": "create", "view": "chmod", "purchase": "write", "signup": "rename", "error": "other"}
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type IN ('click', 'purchase', 'signup')")
+def relevant_events(spark, sf):
+    e = table(spark, sf, "events")
+    op = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])[F.col("event_type")]
+    return relevant(e.withColumn("op", op)).select("event_id", "ts")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '/x/' ELSE '/r/' END || source || '/' || doc_id AS file_key FROM documents")
+def file_keys(spark, sf):
+    """The same file by a relative, an unclean and an absolute name."""
+    d, path = F.col("doc_id") % 5, F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    shown = F.when(d == 0, path).when(d == 1, F.concat(F.lit("./a/..//"), path)).when(d == 2, F.concat(F.lit("/r/b/c/../../"), path))
+    shown = shown.when(d == 3, F.concat(F.lit("../../x/"), path)).otherwise(F.concat(F.lit("/../r/./"), path))
+    return table(spark, sf, "documents").select("doc_id", search.file_key(shown, "/r").alias("file_key"))
+
+
+@query("""SELECT doc_id, 'f' || doc_id AS node_name, CAST(CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS start_line,
+  CAST(CASE doc_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 4 END AS BIGINT) AS end_line, CASE doc_id % 3 WHEN 0 THEN '' ELSE 'f' || doc_id || '|' END || 'g' || source AS callees,
+  doc_id % 3 = 0 AS has_error_return FROM documents""")
+def table_chunks(spark, sf):
+    """Every document as a source file of one function."""
+    d, doc = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    language = F.when(d == 0, F.lit("go")).when(d == 1, F.lit("python")).otherwise(F.lit("javascript"))
+    code = F.when(d == 0, F.format_string("package p\n\nfunc f%s(a int) error {\n\tg%s(a)\n\treturn nil\n}\n", doc, F.col("source")))
+    code = code.when(d == 1, F.format_string("\ndef f%s(a):\n    g%s(a)\n    return a\n", doc, F.col("source")))
+    code = code.otherwise(F.format_string("function f%s(a) {\n  g%s(a);\n  return a;\n}\n", doc, F.col("source")))
+    files = table(spark, sf, "documents").select(doc.alias("file_path"), language.alias("language"), F.encode(code, "UTF-8").alias("content"))
+    lines = [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]
+    flag = F.coalesce("has_error_return", F.lit(False)).alias("has_error_return")
+    return chunked(files).select(F.col("file_path").cast("long").alias("doc_id"), "node_name", *lines, F.array_join("callees", "|").alias("callees"), flag)
+
+
 SOURCES = {
     "go": ("m.go", "package main\n\nimport \"fmt\"\n\n// says hello\nfunc hello(a, b int) error {\n\tfmt.Println(a)\n\treturn nil\n}\n\nfunc (c *T) Mul(x ...string) (n int, err error) {\n\tc.run(x)\n\treturn len(x), nil\n}\n\nfunc short() {}\n\ntype H func(a int) error\n\nvar h = func(a int) int {\n\treturn a\n}\n\nvar m = map[string]func(int) int{\n\t\"a\": h,\n}\n\nfunc after[T any](f func(T) bool) {\n\tf(nil)\n}\n"),
     "python": ("p/mod.py", "import os as o, sys\nfrom a.b import c\n\ndef one(x, y: int = 2) -> int:\n    z = f(x)\n    return z\n\nclass K:\n    def two(self):\n        def inner():\n            pass\n            return 1\n        return inner()\n\nasync def no():\n    await x()\n    return\n"),

@@ -8,6 +8,7 @@ import os
 import sys
 
 from quarry.config import first_set, load_file, state_dir
+from quarry.functions.embedding import selected
 from quarry.operators.search import DEFAULT_K
 from quarry.plans.index import Index
 from quarry.session import build_session
@@ -36,7 +37,8 @@ def main(argv: list[str] | None = None) -> int:
     load_file(os.path.join(state_dir(), "config.json"))
     store = first_set("QUARRY_STORE") or os.path.join(state_dir(), "index")
     spark = build_session(master=first_set("QUARRY_MASTER") or None)
-    index = Index(spark, args.dir, store)
+    provider, model = selected()
+    index = Index(spark, args.dir, store, provider, model)
     if args.command == "index":
         print(index.refresh(), file=sys.stderr)
     elif args.command == "query":
@@ -46,8 +48,13 @@ def main(argv: list[str] | None = None) -> int:
         index.clear()
     else:
         from quarry.rpc import Server
+        from quarry.streaming.refresh import watch_tree
 
-        Server(index, lambda path: Index(spark, path, store)).run(sys.stdin.buffer, sys.stdout.buffer)
+        watch = watch_tree(spark, index.root, index.refresh)
+        try:
+            Server(index, lambda path: Index(spark, path, store, provider, model)).run(sys.stdin.buffer, sys.stdout.buffer)
+        finally:
+            watch.stop()
     return 0
 
 

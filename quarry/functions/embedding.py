@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.config import first_set
+
 
 class Provider(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
@@ -35,6 +40,40 @@ class HashingProvider:
         return out
 
 
+class HttpProvider:
+    """Vectors from a server with the public embeddings interface: POST {base}/embeddings."""
+
+    def __init__(self, base: str, key: str, model: str, timeout: float = 60.0):
+        self.base, self.key, self.model, self.timeout = base.rstrip("/"), key, model, timeout
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        body = json.dumps({"model": self.model, "input": list(texts)}).encode()
+        request = urllib.request.Request(f"{self.base}/embeddings", body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            found = {d["index"]: d["embedding"] for d in json.load(reply)["data"]}
+        if sorted(found) != list(range(len(texts))):
+            raise ValueError("the server gave other vectors than were asked for")
+        return [found[i] for i in range(len(texts))]
+
+
+# fixed values: settings, service address and model that the interface's users expect
+KEY_SETTINGS = ("OPENAI_API_KEY", "openai_key")
+BASE_SETTINGS = ("OPENAI_BASE_URL", "openai_base_url")
+MODEL_SETTINGS = ("OPENAI_EMBEDDING_MODEL", "openai_embedding_model")
+DEFAULT_BASE = "https://api.openai.com/v1"
+DEFAULT_MODEL = "text-embedding-3-small"
+
+
+def selected() -> tuple[Callable[[], Provider], str]:
+    """The provider that the settings ask for, and its model's name; the hashing one if they give no key and no address."""
+    key, base, model = first_set(*KEY_SETTINGS), first_set(*BASE_SETTINGS), first_set(*MODEL_SETTINGS) or DEFAULT_MODEL
+    if not key and not base:
+        return HashingProvider, "hashing-64"
+    return partial(HttpProvider, base or DEFAULT_BASE, key, model), model
+
+
 def embedder(make: Callable[[], Provider] = HashingProvider, batch_size: int = 128) -> Callable[[Column], Column]:
     """A function from a text column to a vector column; the provider is made once per task."""
 

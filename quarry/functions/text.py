@@ -76,3 +76,8 @@ def embedding_text(row: dict[str, Column]) -> Column:
     if "has_error_return" in row:
         lines.append(F.when(row["has_error_return"], F.lit("has_error_return: true")))
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), F.coalesce(row["content"], F.lit("")))
+
+
+def payload(stored: Column) -> Column:
+    """The fields of a stored JSON object, as text by name; numbers, flags and lists in their JSON form, null if it is none."""
+    return F.from_json(stored, "map<string,string>")

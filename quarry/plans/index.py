@@ -8,8 +8,6 @@ never sees half a version and no plan overwrites what it reads. One writer per p
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -40,19 +38,40 @@ class Report:
 class Index:
     """The index of one project below `store`."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, provider: Callable[[], Provider] = HashingProvider, model: str = "hashing-64"):
+    def __init__(
+        self, spark: SparkSession, root: str, store: str, provider: Callable[[], Provider] = HashingProvider, model: str = "hashing-64", source: Callable[[], DataFrame] | None = None
+    ):
+        """store is a folder on any file system Spark can write; source gives the manifest, by default of the tree at root."""
         self.spark, self.root, self.provider, self.model = spark, project_root(root), provider, model
-        self.folder = os.path.join(store, project_id(root))
+        self.source = source or (lambda: manifest(spark, self.root))
+        self.folder = f"{store.rstrip('/')}/{project_id(root)}"
+
+    def _file(self, path: str):
+        """Spark's file system for a path, and the path."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
 
     def version(self) -> int:
         """The newest whole version, 0 for none."""
-        if not os.path.isdir(self.folder):
+        files, folder = self._file(self.folder)
+        if not files.exists(folder):
             return 0
-        ready = [int(d[1:]) for d in os.listdir(self.folder) if d[:1] == "v" and os.path.exists(os.path.join(self.folder, d, MARKER))]
-        return max(ready, default=0)
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        return max((int(n[1:]) for n in names if n[:1] == "v" and files.exists(self._file(self._path(int(n[1:]), MARKER))[1])), default=0)
 
     def _path(self, version: int, table: str) -> str:
-        return os.path.join(self.folder, f"v{version}", table)
+        return f"{self.folder}/v{version}/{table}"
+
+    def _marker(self, version: int) -> dict:
+        files, path = self._file(self._path(version, MARKER))
+        stream = files.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _width(self) -> int:
+        return len(embed_query("width", self.provider()))
 
     def chunks(self) -> DataFrame | None:
         v = self.version()
@@ -69,10 +88,10 @@ class Index:
         """
         v = self.version()
         if v:
-            with open(self._path(v, MARKER), encoding="utf-8") as f:
-                if (built := json.load(f)["model"]) != self.model:
-                    raise ValueError(f"the index was built with {built}, not {self.model}; clear it first")
-        now = staged(manifest(self.spark, self.root), "manifest")
+            built, width = self._marker(v), self._width()
+            if (built["model"], built.get("width", width)) != (self.model, width):
+                raise ValueError(f"the index was built with {built}, not {self.model} of width {width}; clear it first")
+        now = staged(self.source(), "manifest")
         old = self.files()
         readable = now.where("error is null")
         broken = now.where("error is not null").select("file_path")
@@ -103,8 +122,12 @@ class Index:
     def _publish(self, version: int, chunks: DataFrame, files: DataFrame) -> None:
         for table, df in (("chunks", chunks), ("files", files)):
             df.write.mode("overwrite").parquet(self._path(version, table))
-        with open(self._path(version, MARKER), "w", encoding="utf-8") as f:
-            json.dump({"model": self.model}, f)
+        files, path = self._file(self._path(version, MARKER))
+        stream = files.create(path, True)
+        try:
+            stream.write(bytearray(json.dumps({"model": self.model, "width": self._width()}).encode()))
+        finally:
+            stream.close()
 
     def delete_files(self, paths: list[str]) -> int:
         """Drop the rows of the named files; gives the new version."""
@@ -117,7 +140,8 @@ class Index:
 
     def clear(self) -> None:
         """Remove the index; no harm if there is none."""
-        shutil.rmtree(self.folder, ignore_errors=True)
+        files, folder = self._file(self.folder)
+        files.delete(folder, True)
 
     def count(self) -> int:
         rows = self.chunks()
@@ -128,7 +152,7 @@ class Index:
         rows = self.chunks()
         if rows is None or k < 1:
             return self.spark.createDataFrame([], "file_path string, start_line int, end_line int, content string, score double")
-        return search.search(rows, embed_query(query, self.provider()), k, manifest(self.spark, self.root), self.root)
+        return search.search(rows, embed_query(query, self.provider()), k, self.source(), self.root)
 
     def duplicates(self, threshold: float, keep: Column | None = None) -> DataFrame | None:
         rows = self.chunks()

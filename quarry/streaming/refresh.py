@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import threading
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from quarry.schema import FILE_EVENT
+from quarry.scratch import scratch_root
 from quarry.sources.tree import source_paths
 
 GAP = timedelta(seconds=5)
@@ -27,9 +32,14 @@ def bursts(events: DataFrame, keys: list[str], ts: str = "ts", gap: timedelta =
     return out.select(*keys, F.col("w.start").alias("burst_start"), "burst_end", "n_events")
 
 
+def relevant(events: DataFrame, op: str = "op") -> DataFrame:
+    """Events that can change a file's content or existence."""
+    return events.where(F.col(op).isin(*RELEVANT))
+
+
 def streamed_bursts(events: DataFrame, keys: list[str], late: str = "0 seconds") -> DataFrame:
     """bursts() of a stream with its relevant events; a burst comes out when a later event has moved the watermark."""
-    return bursts(events.where(F.col("op").isin(*RELEVANT)).withWatermark("ts", late), keys)
+    return bursts(relevant(events).withWatermark("ts", late), keys)
 
 
 class _TreeReader(SimpleDataSourceStreamReader):
@@ -81,16 +91,69 @@ class TreeEvents(DataSource):
         return _TreeReader(self.options["path"])
 
 
-def keep_fresh(events: DataFrame, refresh: Callable[[], object], checkpoint: str, every: str = f"{GAP.seconds} seconds") -> StreamingQuery:
-    """Refresh once for all events of a trigger interval; an error is logged and the stream goes on."""
-
-    def handle(batch: DataFrame, number: int) -> None:
-        if batch.where(F.col("op").isin(*RELEVANT)).take(1):
+class Debounce:
+    """Runs an action once its calls have ceased for a gap: every call starts the wait anew, and runs never overlap."""
+
+    def __init__(self, action: Callable[[], object], gap: timedelta = GAP):
+        self.action, self.gap = action, gap
+        self._state, self._running = threading.Lock(), threading.Lock()
+        self._timer: threading.Timer | None = None
+        self._stopped = False
+
+    def __call__(self) -> None:
+        with self._state:
+            if self._timer is not None:
+                self._timer.cancel()
+            if not self._stopped:
+                self._timer = threading.Timer(self.gap.total_seconds(), self._run)
+                self._timer.daemon = True
+                self._timer.start()
+
+    def _run(self) -> None:
+        with self._running:
+            if self._stopped:
+                return
             try:
-                refresh()
+                self.action()
             except Exception as error:  # the next change tries again
-                import logging
-
                 logging.getLogger("quarry").error("refresh failed: %s", error)
 
-    return events.writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(handle).start()
+    def stop(self) -> None:
+        """Drop a waiting run, and wait for one that has begun."""
+        with self._state:
+            self._stopped = True
+            if self._timer is not None:
+                self._timer.cancel()
+        with self._running:
+            pass
+
+
+@dataclass
+class Watch:
+    """A running stream of changes and its debounced refresh."""
+
+    query: StreamingQuery
+    debounce: Debounce
+
+    def stop(self) -> None:
+        self.query.stop()
+        self.debounce.stop()
+
+
+def keep_fresh(events: DataFrame, refresh: Callable[[], object], checkpoint: str, every: str = "1 second", gap: timedelta = GAP) -> Watch:
+    """Refresh once after every burst of changes, a gap after its last; an error is logged and the stream goes on."""
+    debounce = Debounce(refresh, gap)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if relevant(batch).take(1):
+            debounce()
+
+    query = events.writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(handle).start()
+    return Watch(query, debounce)
+
+
+def watch_tree(spark: SparkSession, root: str, refresh: Callable[[], object], gap: timedelta = GAP) -> Watch:
+    """Keep what refresh builds in step with the source files below root."""
+    spark.dataSource.register(TreeEvents)
+    changes = spark.readStream.format(TreeEvents.name()).load(root)
+    return keep_fresh(changes, refresh, f"{scratch_root(spark)}/watch-{uuid.uuid4().hex}", gap=gap)

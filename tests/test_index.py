@@ -4,10 +4,14 @@ import hashlib
 import io
 import json
 import os
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
 from quarry import config
+from quarry.functions import embedding
+from quarry.functions.embedding import HashingProvider
 from quarry.plans.index import Index
 from quarry.rpc import Server, read_message
 from quarry.sources import tree
@@ -71,6 +75,59 @@ def test_index_lifecycle(spark, project, tmp_path):
     assert index.count() == 0
 
 
+def test_index_checks_width_and_takes_other_sources(spark, project, tmp_path):
+    store = f"file://{tmp_path}/store"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").load(str(project))
+    source = lambda: tree.from_binary_files(files, str(project))
+    index = Index(spark, str(project), store, source=source)
+    assert index.refresh().added == 1 and index.count() == 2
+    assert Index(spark, str(project), store, source=source).refresh().unchanged == 1
+    with pytest.raises(ValueError, match="width 32"):
+        Index(spark, str(project), store, lambda: HashingProvider(32), source=source).refresh()
+    assert {r["file_path"] for r in index.search("alpha").collect()} == {"a.py"}
+    assert index.delete_files([str(project / "a.py")]) == 2 and index.count() == 0
+    index.clear()
+    assert index.version() == 0
+
+
+def test_provider_over_http(monkeypatch):
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers["Authorization"], body["model"]))
+            data = [{"index": i, "embedding": [float(len(t))]} for i, t in enumerate(body["input"])]
+            reply = json.dumps({"data": data[::-1] if "few" not in body["input"] else []}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(reply)))
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *args):
+            pass
+
+    settings = (*embedding.KEY_SETTINGS, *embedding.BASE_SETTINGS, *embedding.MODEL_SETTINGS)
+    for name in settings:
+        monkeypatch.delenv(name, raising=False)
+    assert embedding.selected() == (HashingProvider, "hashing-64")
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        monkeypatch.setenv(embedding.KEY_SETTINGS[0], "k")
+        monkeypatch.setenv(embedding.BASE_SETTINGS[1], f"http://127.0.0.1:{server.server_port}/v1/")
+        make, model = embedding.selected()
+        assert model == embedding.DEFAULT_MODEL and make().embed([]) == []
+        assert make().embed(["a", "bcd"]) == [[1.0], [3.0]]
+        assert asked == [("/v1/embeddings", "Bearer k", model)]
+        with pytest.raises(ValueError):
+            make().embed(["few"])
+        monkeypatch.setenv(embedding.MODEL_SETTINGS[0], "m")
+        assert embedding.selected()[1] == "m"
+    finally:
+        server.shutdown()
+
+
 def test_rpc(spark, project, tmp_path):
     index = Index(spark, str(project), str(tmp_path / "store"))
     index.refresh()

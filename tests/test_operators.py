@@ -130,6 +130,14 @@ def test_search_finds_live_hits_behind_gone_and_hot_files(spark):
     assert search.search(chunks, [1.0, 0.0], 2, live).count() == 2 and search.search(chunks, [1.0, 0.0], 0, live).count() == 0
 
 
+def test_search_takes_names_of_one_file_as_one(spark):
+    kinds = "file_path string, start_line long, end_line long, content string, embedding array<double>"
+    rows = [("/r/a", 1, 2, "x", [1.0, 0.0]), ("a", 3, 4, "x", [1.0, 0.01]), ("./b/../a", 5, 6, "x", [1.0, 0.02]), ("/r/b", 1, 2, "y", [1.0, 1.0]), ("/c", 1, 2, "z", [1.0, 0.0])]
+    live = spark.createDataFrame([("/r/a",), ("/r/b",)], "file_path string")
+    found = search.search(spark.createDataFrame(rows, kinds), [1.0, 0.0], 3, live, "/r").collect()
+    assert [(r["file_path"], r["start_line"]) for r in found] == [("a", 1), ("b", 1), ("a", 3)]
+
+
 def test_snapshots_of_empty_tables(spark):
     none = spark.createDataFrame([], "file_path string, file_hash string")
     some = spark.createDataFrame([("a", "1"), ("b", "2")], "file_path string, file_hash string")

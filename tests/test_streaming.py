@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from quarry.schema import FILE_EVENT
-from quarry.streaming.refresh import TreeEvents, bursts, keep_fresh, streamed_bursts
+from quarry.streaming.refresh import Debounce, bursts, streamed_bursts, watch_tree
 
 
 def test_gap_of_five_seconds_starts_a_burst(spark):
@@ -30,19 +30,55 @@ def test_streamed_bursts(spark, tmp_path):
         q.stop()
 
 
-def test_tree_events_drive_refreshes(spark, tmp_path):
+def test_debounce_waits_for_quiet():
+    runs = []
+    debounce = Debounce(lambda: runs.append(time.time()), timedelta(seconds=0.6))
+    began = time.time()
+    for _ in range(5):
+        debounce()
+        time.sleep(0.2)
+    last = time.time() - 0.2
+    time.sleep(1.2)
+    assert len(runs) == 1 and runs[0] - last >= 0.55 and runs[0] - began > 1.3
+    debounce()
+    debounce.stop()
+    debounce()
+    time.sleep(0.9)
+    assert len(runs) == 1
+
+
+def test_debounce_outlives_errors():
+    runs = []
+
+    def broken():
+        runs.append(1)
+        raise ValueError("broken")
+
+    debounce = Debounce(broken, timedelta(seconds=0.05))
+    for n in (1, 2):
+        debounce()
+        time.sleep(0.4)
+        assert len(runs) == n
+    debounce.stop()
+
+
+def test_tree_events_drive_one_refresh(spark, tmp_path):
     root = tmp_path / "tree"
     root.mkdir()
     (root / "a.py").write_text("x")
-    spark.dataSource.register(TreeEvents)
     done = []
-    q = keep_fresh(spark.readStream.format("quarry_tree").load(str(root)), lambda: done.append(1), str(tmp_path / "cp"), "1 second")
+    watch = watch_tree(spark, str(root), lambda: done.append(1), timedelta(seconds=4))
     try:
         time.sleep(6)
-        (root / "b.py").write_text("y")
+        for name in ("b.py", "c.py", "new/d.py"):
+            (root / name).parent.mkdir(exist_ok=True)
+            (root / name).write_text("y")
+            time.sleep(1)
         until = time.time() + 40
         while not done and time.time() < until:
             time.sleep(0.5)
-        assert done
+        time.sleep(2)
+        assert done == [1]
     finally:
-        q.stop()
+        watch.stop()
+    assert not watch.query.isActive
