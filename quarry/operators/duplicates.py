@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quarry.functions.vectors import unit_vectors
+from quarry.operators.blocks import met, packed
 from quarry.operators.components import components
-from quarry.scratch import staged
+from quarry.scratch import nullable, staged
 
-BLOCK = 2048
+BLOCK = 4096
+#: Rows of a block that meet the other block in one matrix product.
+TILE = 512
 REASON = "similar embeddings"
 
 
@@ -45,49 +50,42 @@ def trivial(a: str = "a", b: str = "b") -> Column:
     return same | short(a) | short(b)
 
 
-def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(a, b, score) for all keys a < b with cosine >= threshold.
+def paired(rows: DataFrame, threshold: float, key: str, vector: str = "embedding", carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(a, b, score) of all rows with keys a < b and cosine >= threshold; a and b are structs of the key and the columns of carry.
 
-    Vectors are dealt into blocks and every two blocks meet in one matrix product, so a task holds two blocks and
-    only pairs over the threshold come out. Null and zero vectors pair with nothing; vectors of other lengths than
-    their partner's have similarity 0. A row meets every block, which is what an exact join without an index costs.
+    Rows are packed into blocks and every two blocks meet in matrix products, so a task holds two blocks, no vector is
+    copied for its partners, and only pairs over the threshold come out. Null and zero vectors pair with nothing;
+    vectors of other lengths than their partner's have similarity 0.
     """
-    rows = staged(rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")), "vectors")
-    n = -(-max(rows.count(), 1) // block)
-    part = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("key", "v", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    kind = rows.schema["key"].dataType
-
-    def product(table: pa.Table) -> pa.Table:
-        i, part = table.column("i")[0].as_py(), table.column("part").to_numpy()
-        keys = table.column("key").combine_chunks()
-        lists = table.column("v").combine_chunks()
-        first = np.asarray(lists.offsets)[:-1]
-        size, flat = np.diff(np.asarray(lists.offsets)), lists.values.to_numpy(zero_copy_only=False)
-        same = table.column("j")[0].as_py() == i
-        found: list[tuple] = []
-        for width in np.unique(size):
-            if not width:
-                continue
-            at = np.flatnonzero(size == width)
-            m = flat[first[at][:, None] + np.arange(width)]
-            norm = np.sqrt((m * m).sum(axis=1))
-            at, m = at[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
-            left, right = part[at] == i, part[at] != i
-            a, b = (at, at) if same else (at[left], at[right])
-            s = (m if same else m[left]) @ (m if same else m[right]).T
-            x, y = np.nonzero(s >= threshold)
-            found.append((a[x], b[y], s[x, y]))
-        p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        out = pa.table({"a": keys.take(pa.array(p)), "b": keys.take(pa.array(q)), "s": pa.array(np.concatenate([f[2] for f in found]) if found else np.zeros(0))})
-        less = pc.less(out["a"], out["b"])
-        if same:
-            return out.filter(less)
-        return pa.table({"a": pc.if_else(less, out["a"], out["b"]), "b": pc.if_else(less, out["b"], out["a"]), "s": out["s"]})
-
-    found = dealt.groupBy("i", "j").applyInArrow(product, f"a {kind.simpleString()}, b {kind.simpleString()}, s double")
-    return found.where("a != b").select("a", "b", F.col("s").alias("score"))
+    names = [key, *(c for c in carry if c != key)]
+    single = rows.schema[vector].dataType == T.ArrayType(T.FloatType(), rows.schema[vector].dataType.containsNull)
+    value = F.col(vector) if single else F.col(vector).cast("array<double>")
+    rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(*names, value.alias("__vector"))
+    struct = nullable(T.StructType([rows.schema[c] for c in names]))
+
+    def product(one: pa.Table, two: pa.Table, same: bool) -> Iterator[pa.Table]:
+        both = pa.concat_tables([one, two]).select(names).combine_chunks()
+        keys = both.column(key)
+        left, right = unit_vectors(one.column("__vector")), unit_vectors(two.column("__vector"))
+        for width in left.keys() & right.keys():
+            (p, m), (q, w) = ((at[some], v[some]) for at, v in (left[width], right[width]) for some in [(v != 0).any(axis=1)])
+            for first in range(0, len(p), TILE):
+                s = m[first : first + TILE] @ w.T
+                x, y = np.nonzero(s >= threshold)
+                s, x, y = s[x, y], p[first + x], q[y] + one.num_rows
+                less = pc.less(keys.take(pa.array(x)), keys.take(pa.array(y))).to_numpy()
+                more = pc.greater(keys.take(pa.array(x)), keys.take(pa.array(y))).to_numpy() & (not same)
+                lower, upper, kept = np.where(less, x, y), np.where(less, y, x), less | more
+                ends = [both.take(pa.array(end[kept])).to_struct_array() for end in (lower, upper)]
+                yield pa.table({"a": ends[0], "b": ends[1], "score": pa.array(s[kept])})
+
+    kind = T.StructType([T.StructField("a", struct), T.StructField("b", struct), T.StructField("score", T.DoubleType())])
+    return met(packed(rows, "__vector", block, "vectors"), None, product, kind)
+
+
+def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(a, b, score) for all keys a < b with cosine >= threshold; as paired."""
+    return paired(rows, threshold, key, vector, block=block).select(F.col("a")[key].alias("a"), F.col("b")[key].alias("b"), "score")
 
 
 def duplicate_groups(pairs: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
