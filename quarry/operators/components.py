@@ -7,6 +7,7 @@ reads two plain exchanges and adaptive execution can split a hub's neighbours ov
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,17 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     known = leaves.unionByName(roots)
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component")).join(known.select("node"), "node", "left_anti")
     return known.unionByName(alone)
+
+
+def lowest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of the nodes 0 to n - 1 the smallest one that each reaches over the edges u to v, in memory."""
+    low = np.arange(n)
+    while len(u):
+        one, two = low[u], low[v]
+        apart = one != two
+        # a root hangs below the smallest root that it meets, then all nodes move up to their roots
+        u, v, one, two = u[apart], v[apart], one[apart], two[apart]
+        np.minimum.at(low, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(up := low[low], low):
+            low = up
+    return low

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from quarry.functions.vectors import unit_vectors
 from quarry.operators.blocks import met, packed
-from quarry.operators.components import components
+from quarry.operators.components import components, lowest
 from quarry.scratch import nullable, staged
 
 BLOCK = 4096
 #: Rows of a block that meet the other block in one matrix product.
 TILE = 512
+#: Pairs that are told as one row per node at a time.
+GATHERED = 1 << 21
 REASON = "similar embeddings"
 
 
@@ -88,10 +90,49 @@ def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", vector: st
     return paired(rows, threshold, key, vector, block=block).select(F.col("a")[key].alias("a"), F.col("b")[key].alias("b"), "score")
 
 
+def _gathered(src: str, dst: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of every chunk of pairs and each node in it: the smallest node it reaches there, and sum and number of the scores of its pairs as src."""
+
+    def rows(pairs: pa.Table) -> Iterator[pa.RecordBatch]:
+        pairs = pairs.filter(pc.and_(pc.is_valid(pairs[src]), pc.is_valid(pairs[dst])))
+        if not pairs.num_rows:
+            return
+        nodes = pa.chunked_array([*pairs[src].chunks, *pairs[dst].chunks]).combine_chunks().dictionary_encode()
+        order = pc.array_sort_indices(nodes.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        u, v = rank[nodes.indices.to_numpy()].reshape(2, -1)
+        known = pc.is_valid(pairs["score"]).to_numpy()
+        score = pc.fill_null(pairs["score"], 0.0).to_numpy()
+        names = nodes.dictionary.take(pa.array(order))
+        totals = np.bincount(u, score, len(order)), np.bincount(u[known], minlength=len(order)).astype(np.int64)
+        yield pa.record_batch({"node": names, "low": names.take(pa.array(lowest(u, v, len(order)))), "total": pa.array(totals[0]), "n": pa.array(totals[1])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= GATHERED:
+                yield from rows(pa.Table.from_batches(held))
+                held, count = [], 0
+        if count:
+            yield from rows(pa.Table.from_batches(held))
+
+    return run
+
+
 def duplicate_groups(pairs: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """(root, members, size, avg_score): components of the accepted pairs with the mean of their scores."""
-    labels = staged(components(pairs, src, dst), "labels")
-    scores = pairs.join(labels.select(F.col("node").alias(src), F.col("component").alias("root")), src).groupBy("root").agg(F.avg("score").alias("avg_score"))
+    """(root, members, size, avg_score): components of the accepted pairs with the mean of their scores.
+
+    The pairs are read once. Each chunk of them is told as one row per node, so what is shuffled grows with the nodes.
+    """
+    kind = pairs.schema[src].dataType.simpleString()
+    told = pairs.select(src, dst, F.col("score").cast("double").alias("score")).mapInArrow(_gathered(src, dst), f"node {kind}, low {kind}, total double, n long")
+    told = staged(told, "told")
+    labels = staged(components(told, "node", "low"), "labels")
+    sums = told.groupBy("node").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    scores = labels.join(sums, "node").groupBy(F.col("component").alias("root")).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("avg_score"))
     members = labels.groupBy(F.col("component").alias("root")).agg(F.array_sort(F.collect_list("node")).alias("members"))
     return members.join(scores, "root").select("root", "members", F.size("members").cast("long").alias("size"), "avg_score")
 

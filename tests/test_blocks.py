@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import duplicates
+from quarry.operators.components import lowest
 
 
 def shuffles(df) -> bool:
@@ -31,3 +33,38 @@ def test_similar_pairs_copy_no_vector(spark, block):
     single = [(k, v and np.float32(v).astype(float).tolist()) for k, v in rows]
     assert sorted((a, b, round(s, 9)) for a, b, s in got.collect()) == brute(single, 0.0)
     assert duplicates.similar_pairs(df.where(F.lit(False)), 0.0, block=block).count() == 0
+
+
+def test_lowest_node_of_random_graphs():
+    rng = np.random.default_rng(5)
+    for n, m in [(1, 0), (1, 1), (40, 25), (40, 200), (300, 280)]:
+        u, v = rng.integers(0, n, (2, m))
+        want = np.arange(n)
+        for _ in range(n):
+            for x, y in zip(u, v, strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        assert lowest(u, v, n).tolist() == want.tolist()
+    assert set(lowest(np.arange(1, 5000), np.arange(4999), 5000)) == {0}
+
+
+def test_chunks_of_pairs_are_told_by_node(monkeypatch):
+    monkeypatch.setattr(duplicates, "GATHERED", 3)
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip("ab", r[:2], strict=True), score=r[2]) for r in rows])
+    batches = [batch(("d", "c", 0.5), ("c", "b", 0.25)), batch(("d", "x", None), ("y", None, 9.0)), batch(("x", "z", 1.0))]
+    got = [b.to_pylist() for b in duplicates._gathered("a", "b")(iter(batches))]
+    shown = [sorted((r["node"], r["low"], r["total"], r["n"]) for r in rows) for rows in got]
+    assert shown == [[("b", "b", 0.0, 0), ("c", "b", 0.25, 1), ("d", "b", 0.5, 1), ("x", "b", 0.0, 0)], [("x", "x", 1.0, 1), ("z", "x", 0.0, 0)]]
+
+
+def test_groups_read_their_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.7), (8, 9, 1.0)], "a long, b long, score double")
+    got = duplicates.duplicate_groups(pairs.mapInArrow(counted, pairs.schema)).collect()
+    assert sorted((r["root"], r["members"], r["size"], round(r["avg_score"], 9)) for r in got) == [(1, [1, 2, 3], 3, 0.6), (8, [8, 9], 2, 1.0)]
+    assert seen.value == 3
