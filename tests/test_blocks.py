@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalogue
 from quarry.operators import duplicates
 from quarry.operators.components import lowest
 
@@ -68,3 +71,7 @@ def test_groups_read_their_pairs_once(spark):
     got = duplicates.duplicate_groups(pairs.mapInArrow(counted, pairs.schema)).collect()
     assert sorted((r["root"], r["members"], r["size"], round(r["avg_score"], 9)) for r in got) == [(1, [1, 2, 3], 3, 0.6), (8, [8, 9], 2, 1.0)]
     assert seen.value == 3
+
+
+def test_trivial_pairs_are_judged_without_a_shuffle(spark, small):
+    assert not shuffles(catalogue.QUERIES["trivial_pairs"](spark, small))
