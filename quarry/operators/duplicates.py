@@ -145,11 +145,12 @@ def find_duplicates(chunks: DataFrame, threshold: float, keep: Column | None = N
     rows = chunks.where(keep) if keep is not None else chunks
     rows = rows.where(F.col("embedding").isNotNull()).dropDuplicates(["point_id"])
     rows = staged(rows, "candidates")
-    found = similar_pairs(rows, threshold, "point_id").alias("p")
-    place = rows.drop("embedding", "content") if keep_pair is not None else rows.select("point_id", "file_path", "start_line", "end_line")
-    found = found.join(place.alias("a"), F.col("p.a") == F.col("a.point_id")).join(place.alias("b"), F.col("p.b") == F.col("b.point_id"))
+    # a short chunk makes every pair of it trivial
+    long = rows.where(F.col("end_line") - F.col("start_line") + 1 >= 3)
+    place = [c for c in rows.columns if c not in ("embedding", "content")] if keep_pair is not None else ["file_path", "start_line", "end_line"]
+    found = paired(long, threshold, "point_id", carry=place)
     found = found if keep_pair is None else found.where(keep_pair)
-    found = staged(found.where(~trivial()).select("p.a", "p.b", "p.score"), "pairs")
+    found = found.where(~trivial()).select(F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"), "score")
     groups = duplicate_groups(found)
     flat = groups.select("root", "avg_score", F.explode("members").alias("point_id")).join(rows.drop("embedding"), "point_id")
     whole = F.struct(*[c for c in rows.columns if c != "embedding"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry import catalogue
 from quarry.operators import duplicates
 from quarry.operators.components import lowest
+from quarry.scratch import recorded
 
 
 def shuffles(df) -> bool:
@@ -75,3 +76,21 @@ def test_groups_read_their_pairs_once(spark):
 
 def test_trivial_pairs_are_judged_without_a_shuffle(spark, small):
     assert not shuffles(catalogue.QUERIES["trivial_pairs"](spark, small))
+
+
+def test_find_duplicates_stages_neither_texts_nor_joined_pairs(spark, small):
+    with recorded() as paths:
+        catalogue.QUERIES["find_duplicates"](spark, small)
+    names = {p.rsplit("/", 1)[1].rsplit("-", 5)[0]: spark.read.parquet(p).columns for p in paths if isinstance(p, str) and "-blocks-" not in p}
+    assert "candidates" in names and "pairs" not in names
+    assert not any("content" in columns for columns in names.values())
+
+
+def test_pair_filter_sees_all_columns(spark):
+    row = lambda i, lines, v, tags: (i, f"f{i}", 1, lines, "text", v, tags, datetime(2024, 1, 1 + i))
+    rows = [row(1, 9, [1.0, 0.0], ["x"]), row(2, 9, [1.0, 0.1], None), row(3, 9, [1.0, 0.2], ["x", "y"]), row(4, 2, [1.0, 0.0], ["x"]), row(5, 9, [1.0, 0.0], [])]
+    kinds = "point_id long, file_path string, start_line long, end_line long, content string, embedding array<double>, tags array<string>, at timestamp"
+    chunks = spark.createDataFrame(rows, kinds)
+    keep = F.array_contains("a.tags", "x") & (F.col("b.at") < F.lit(datetime(2024, 1, 5))) & (F.col("score") < 0.99)
+    got = duplicates.find_duplicates(chunks, 0.5, keep_pair=keep).collect()
+    assert [[c["point_id"] for c in r["chunks"]] for r in got] == [[1, 3]] and got[0]["chunks"][0]["content"] == "text"
