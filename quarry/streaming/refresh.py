@@ -10,28 +10,50 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from quarry.schema import FILE_EVENT
-from quarry.scratch import scratch_root
+from quarry.scratch import scratch_root, staged
 from quarry.sources.tree import source_paths
 
 GAP = timedelta(seconds=5)
+#: Events of a range of time, about.
+ROWS = 1 << 18
 RELEVANT = ("create", "write", "remove", "rename")
 
 
-def bursts(events: DataFrame, keys: list[str], ts: str = "ts", gap: timedelta = GAP) -> DataFrame:
-    """Bursts of events less than gap apart: keys, burst_start, burst_end (of its last event), n_events."""
+def _sessions(events: DataFrame, keys: list[str], ts: str, gap: timedelta) -> DataFrame:
     # sessions that touch are one, and an event a full gap later is not of the burst
     window = F.session_window(F.col(ts), f"{gap // timedelta(microseconds=1) - 1} microseconds")
     out = events.groupBy(*keys, window.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("burst_end"))
     return out.select(*keys, F.col("w.start").alias("burst_start"), "burst_end", "n_events")
 
 
+def bursts(events: DataFrame, keys: list[str], ts: str = "ts", gap: timedelta = GAP, rows: int = ROWS) -> DataFrame:
+    """Bursts of events less than gap apart: keys, burst_start, burst_end (of its last event), n_events.
+
+    A table of more than the given number of rows is cut into ranges of time, so that events of one key spread over
+    tasks. Only the first and the last burst of a range can go on in another one: these few meet per key.
+    """
+    parts = 1 if events.isStreaming else -(-events.count() // rows)
+    if parts <= 1:
+        return _sessions(events, keys, ts, gap)
+    dealt = events.select(*keys, ts).where(F.col(ts).isNotNull()).repartitionByRange(parts, *keys, ts).withColumn("__part", F.spark_partition_id())
+    # ranges are drawn from a sample and may differ in another run, so they are fixed here
+    local = staged(_sessions(dealt, [*keys, "__part"], ts, gap), "bursts")
+    start, within, along = F.col("burst_start"), Window.partitionBy(*keys, "__part"), Window.partitionBy(*keys).orderBy("burst_start")
+    local = local.withColumn("__edge", (start == F.min(start).over(within)) | (start == F.max(start).over(within)))
+    fresh = F.coalesce(start >= F.lag("burst_end").over(along) + F.lit(gap), F.lit(True)).cast("int")
+    edges = local.where("__edge").withColumn("__fresh", fresh).withColumn("__burst", F.sum("__fresh").over(along))
+    joined = edges.groupBy(*keys, "__burst").agg(F.min(start).alias("burst_start"), F.max("burst_end").alias("burst_end"), F.sum("n_events").alias("n_events"))
+    names = [*keys, "burst_start", "burst_end", "n_events"]
+    return local.where(~F.col("__edge")).select(names).unionByName(joined.select(names))
+
+
 def relevant(events: DataFrame, op: str = "op") -> DataFrame:
     """Events that can change a file's content or existence."""
     return events.where(F.col(op).isin(*RELEVANT))

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.schema import FILE_EVENT
+from quarry.scratch import recorded
 from quarry.streaming.refresh import Debounce, bursts, streamed_bursts, watch_tree
 
 
@@ -17,6 +21,34 @@ def test_gap_of_five_seconds_starts_a_burst(spark):
     assert got == [1, 1, 3]
 
 
+@pytest.mark.parametrize("rows", [1, 7, 60])
+def test_bursts_of_one_key_spread_over_tasks(spark, rows):
+    rng = random.Random(rows)
+    t = datetime(2024, 1, 1)
+    seen = [(key, t + timedelta(seconds=rng.choice([0, 0, 4.999999, 5, 5, 2]) + 5 * rng.randrange(120))) for key in ("p", "p", "q", None) for _ in range(60)]
+    seen += [("r", t + timedelta(seconds=4 * k)) for k in range(80)] + [("p", None)]
+    df = spark.createDataFrame(seen, "project string, ts timestamp")
+    got = bursts(df, ["project"], rows=rows)
+    want = []
+    for key in ("p", "q", "r", None):
+        for at in sorted(x for k, x in seen if k == key and x):
+            if want and want[-1][0] == key and at - want[-1][2] < timedelta(seconds=5):
+                want[-1] = (key, want[-1][1], at, want[-1][3] + 1)
+            else:
+                want.append((key, at, at, 1))
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_no_task_reads_all_events_of_a_key(spark):
+    t = datetime(2024, 1, 1)
+    df = spark.range(4000).select(F.lit("p").alias("project"), (F.lit(t) + F.make_dt_interval(secs=F.col("id") * 7)).alias("ts"))
+    with recorded() as paths:
+        got = bursts(df, ["project"], rows=500)
+    assert got.count() == 4000 and len(paths) == 1
+    sizes = [r["count"] for r in spark.read.parquet(paths[0]).groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
 def test_streamed_bursts(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("a", "write", t), ("a", "chmod", t + timedelta(seconds=3)), ("b", "create", t + timedelta(seconds=4)), ("c", "remove", t + timedelta(seconds=60))]
