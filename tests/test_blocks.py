@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalogue
-from quarry.operators import duplicates
+from quarry.operators import duplicates, search
 from quarry.operators.components import lowest
 from quarry.scratch import recorded
 
@@ -94,3 +94,10 @@ def test_pair_filter_sees_all_columns(spark):
     keep = F.array_contains("a.tags", "x") & (F.col("b.at") < F.lit(datetime(2024, 1, 5))) & (F.col("score") < 0.99)
     got = duplicates.find_duplicates(chunks, 0.5, keep_pair=keep).collect()
     assert [[c["point_id"] for c in r["chunks"]] for r in got] == [[1, 3]] and got[0]["chunks"][0]["content"] == "text"
+
+
+def test_similarities_copy_no_vector(spark):
+    chunks = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, embedding array<double>")
+    queries = chunks.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = search.similarities_block(chunks, queries, "id", rows=2, asked=4)
+    assert not shuffles(got) and got.count() == 81
